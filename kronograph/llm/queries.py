@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kronograph.llm import bpe_codec, packing, token_counts
+from kronograph.llm import bpe_codec, chat_format, fingerprints, html_extract, packing, token_counts
 from kronograph.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,14 +21,33 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id bigint, turn bigint, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    path = public_tokenizers.path(BYTE_BPE)
+    return chat_format.read_back(chat_format.format_turns(rows, path), path)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
