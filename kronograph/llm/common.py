@@ -1,11 +1,8 @@
-"""What the operators of this subpackage share: shipping the package, shared tables, Arrow helpers."""
+"""What the operators of this subpackage share: shipping the package, Arrow helpers."""
 
 from __future__ import annotations
 
-import atexit
-import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -14,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kronograph.sources.shared import Written, free_shuffles, written  # noqa: F401
+
 #: Bytes of Arrow data that an operator hands back at once.
 OUT_BYTES = 8 << 20
 
@@ -33,51 +32,6 @@ def ship(spark: SparkSession) -> None:
     sc._kronograph_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        sc = spark.sparkContext
-        folder = getattr(sc, "_kronograph_folder", None)
-        if folder is None:
-            folder = sc._kronograph_folder = "file://" + tempfile.mkdtemp(prefix="kronograph")
-    return folder.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that written() made."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session has ended; the folder's owner clears it
-        pass
-
-
-class Written:
-    """A table in the shared folder: lineage is cut, and a lost executor costs nothing of it."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/kronograph-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        atexit.register(_remove_quietly, self.spark, self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    return Written(df, name).read()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
