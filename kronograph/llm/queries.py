@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kronograph.llm import bpe_codec, chat_format, fingerprints, html_extract, ngram_join, packing, suffix_dedup, token_counts
+from kronograph.llm import bpe_codec, chat_format, embedding_dedup, fingerprints, html_extract, ngram_join, packing, suffix_dedup, token_counts
 from kronograph.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -49,10 +49,15 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_html_extraction": op7_html_extraction,
     "op8_chat_format": op8_chat_format,
