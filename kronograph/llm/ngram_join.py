@@ -197,6 +197,23 @@ class Block:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
+    return _labelled(docs, id_col, text_col, words, percent, block).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """docs with one row of each component, that with the least id; rows without words all stay. All columns are kept."""
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hashed")
+    best = _labelled(docs, id_col, text_col, words, percent, block).filter("n_shingles > 0").groupBy("component").agg(F.min(least).alias("row"))
+    nil = F.lit(-(2**63))
+    best = Written(best.select(F.col("row.hashed").alias("_hashed"), F.coalesce("row.doc_id", nil).alias("_id")), "best").read()
+    marked = docs.withColumn("_hashed", F.xxhash64(F.col(f"`{text_col}`"))).withColumn("_id", F.coalesce(F.col(f"`{id_col}`").cast("bigint"), nil))
+    wordless = F.coalesce(~F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    kept = marked.filter(~wordless).join(best, ["_hashed", "_id"]).dropDuplicates(["_hashed", "_id"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.filter(wordless))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int) -> DataFrame:
+    """(doc_id, hashed, n_shingles, component, component_id) of every row; component is null for empty sets."""
     docs = clean_names(docs, doc_id=id_col, text=text_col)
     spark = docs.sparkSession
     ship(spark)
@@ -357,6 +374,6 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = least.join(joined.read(), least["class"] == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     least = Written(least, "least")
     named = Written(least.read().groupBy("component").agg(F.min("least").alias("component_id")), "named")
-    label = Written(least.read().join(named.read(), "component").select("class", "component_id"), "labels")
+    label = Written(least.read().join(named.read(), "component").select("class", "component", "component_id"), "labels")
     out = rows.join(label.read(), "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "hashed", F.col("n").alias("n_shingles"), "component", "component_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kronograph.llm import bpe_codec, chat_format, embedding_dedup, fingerprints, html_extract, ngram_join, packing, suffix_dedup, token_counts
+from kronograph.llm import bpe_codec, chat_format, embedding_dedup, fingerprints, html_extract, ngram_join, packing, quality, suffix_dedup, token_counts
 from kronograph.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -53,10 +53,15 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.grade(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_quality": op4_quality,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_html_extraction": op7_html_extraction,
