@@ -39,9 +39,9 @@ def _(spark, d):
     return entities(spark, d).filter(F.col("entity_type") == "Part").withColumn("size", size).filter(F.col("size").between(10, 20)).select("id", "size")
 
 
-@query("text_contains", "SELECT 'P:'||p_partkey AS id FROM part WHERE contains(lower(p_type), 'steel') OR contains(lower(p_brand), 'steel')")
+@query("text_contains", "SELECT 'P:'||p_partkey AS id FROM part WHERE contains(lower(p_type), 'promo') OR contains(lower(p_brand), 'promo')")
 def _(spark, d):
-    return entities(spark, d).filter((F.col("entity_type") == "Part") & F.lower("properties").contains("steel")).select("id")
+    return entities(spark, d).filter((F.col("entity_type") == "Part") & F.lower("properties").contains("promo")).select("id")
 
 
 @query("date_range", f"SELECT id, valid_from FROM episodes WHERE episode_type = 'event' AND valid_from BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'", "episodes")
