@@ -39,8 +39,10 @@ def postings(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     """(field, token, id, tf, dl): the inverted index of some text columns."""
     out = None
     for field, column in fields.items():
-        token = F.transform(words(F.regexp_replace(F.lower(F.col(column)), r"[^\p{L}\p{N}]+", " ")), lambda w: w)
-        rows = docs.select(F.lit(field).alias("field"), F.col(id_col).alias("id"), F.size(token).alias("dl"), F.explode(token).alias("token")).groupBy("field", "token", "id", "dl").agg(F.count("*").alias("tf"))
+        token = F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        # counted within each document first, so its tokens are never shuffled one by one
+        counted = docs.select(F.col(id_col).alias("id"), F.explode(F.array(F.array_sort(token))).alias("tokens"))
+        rows = counted.select(F.lit(field).alias("field"), "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("field", "token", "id", "dl").agg(F.count("*").alias("tf"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
