@@ -37,7 +37,9 @@ from kronograph.llm.common import arrow_schema, clean_names, cut, ship, table, w
 #: Distinct bodies that a host needs, and the share of them that makes a node template.
 MIN_BODIES, CONSTANT_SHARE = 10, 0.9
 #: Depth below which nodes are not told apart, and pairs of children up to which order is aligned by table.
-MAX_DEPTH, MAX_CELLS = 40, 250_000
+MAX_DEPTH, MAX_CELLS = 40, 10_000
+#: Siblings of one label that are no leaf blocks stay apart up to this many.
+FEW = 8
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +48,7 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img in
 LEFT_OUT = frozenset("head nav footer aside form script style noscript template iframe title button select option input textarea dialog menu svg object embed canvas".split())
 MARKED = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments commentlist cookie cookies notice consent gdpr popup modal overlay newsletter subscribe share sharing social related recommended login signup search disqus respond skip pagination toolbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+LEAVES = frozenset("p li dt dd tr td th h2 h3 h4 h5 h6 blockquote pre figure img option hr".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 P_ENDS = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: What an end tag or an implied end doesn't reach beyond.
@@ -180,6 +183,17 @@ class Slot:
         self.label, self.nodes, self.children, self.number = label, [], [], 0
 
 
+def apart(run: Slot) -> list[Slot]:
+    """A run, or its few siblings one by one if they are containers."""
+    if run.nodes[0].tag in LEAVES or not 1 < len(run.nodes) <= FEW:
+        return [run]
+    out = []
+    for node in run.nodes:
+        out.append(Slot(run.label))
+        out[-1].nodes = [node]
+    return out
+
+
 def fold(tree: Node) -> Slot:
     root, n = Slot("#root"), 0
     root.nodes = [tree]
@@ -199,6 +213,7 @@ def fold(tree: Node) -> Slot:
                     last = Slot(label)
                     slot.children.append(last)
                 last.nodes.append(c)
+        slot.children = [s for run in slot.children for s in apart(run)]
         stack += [(s, depth + 1) for s in reversed(slot.children)]
     return root
 
