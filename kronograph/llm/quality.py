@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from kronograph.llm.common import clean_names, cut, ship, table
 
-#: Rated documents in the fit, features (a power of two), documents that a feature must occur in, steps, penalty, and the tail probability that keeps a document.
-SAMPLE, FEATURES, LEAST_DOCS, STEPS, PENALTY, KEEP = 8000, 1 << 22, 4, 250, 5e-4, 0.5
+#: Rated documents in the fit, features (a power of two), documents that a feature must occur in, steps and their rate, penalty, and the tail probability that keeps a document.
+SAMPLE, FEATURES, LEAST_DOCS, STEPS, RATE, PENALTY, KEEP = 8000, 1 << 22, 4, 250, 0.05, 5e-4, 0.5
 GRADES = 3
 #: Lengths of the stems that count as features besides whole words.
 STEMS = (3, 4, 5, 6, 7)
@@ -93,14 +93,19 @@ class Model:
         return np.array([self.weights[f].sum(dtype=np.float64) for f in found])
 
 
-def fit(found: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> Model:
+def fit(found: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, penalty: float = PENALTY, rate: float = RATE) -> Model:
     """Maximum penalised likelihood by Adam; grades count by the inverse of their share's root."""
     n = len(found)
-    used = np.bincount(np.concatenate([*found, np.zeros(0, np.int64)]), minlength=FEATURES) >= LEAST_DOCS
+    used = np.zeros(FEATURES, np.int32)
+    for f in found:
+        used[f] += 1
+    used = used >= LEAST_DOCS
     column = np.cumsum(used) - 1
-    cols = [column[f[used[f]]] for f in found]
-    rows = np.repeat(np.arange(n), [len(c) for c in cols])
-    cols, k = np.concatenate(cols), int(used.sum())
+    lengths = np.array([int(used[f].sum()) for f in found])
+    cols, k = np.concatenate([column[f[used[f]]] for f in found]), int(used.sum())
+    some = lengths > 0
+    starts = (np.cumsum(lengths) - lengths)[some]
+    del found
     share = np.bincount(grades, minlength=GRADES) / n
     importance = 1 / np.sqrt(np.maximum(share, 1e-9))[grades]
     importance /= importance.mean()
@@ -112,7 +117,9 @@ def fit(found: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, penalty
     for step in range(1, steps + 1):
         t = np.concatenate([params[k : k + 1], params[k] + np.cumsum(np.exp(params[k + 1 :]))])
         edges = np.concatenate([[-np.inf], t, [np.inf]])
-        s = np.bincount(rows, params[cols], n)
+        s = np.zeros(n)
+        if k:
+            s[some] = np.add.reduceat(params[cols], starts)
         with np.errstate(over="ignore"):
             high, low = (1 / (1 + np.exp(-(edges[grades + up] - s))) for up in (1, 0))
         p = np.maximum(high - low, 1e-12)
@@ -122,9 +129,9 @@ def fit(found: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, penalty
         np.add.at(at, grades + 1, -importance * dh / p / n)
         np.add.at(at, grades, importance * dl / p / n)
         by_t = at[1:-1]
-        grad = np.concatenate([np.bincount(cols, ds[rows], k) + penalty * params[:k], [by_t.sum()], np.cumsum(by_t[::-1])[::-1][1:] * np.exp(params[k + 1 :])])
+        grad = np.concatenate([np.bincount(cols, np.repeat(ds, lengths), k) + penalty * params[:k], [by_t.sum()], np.cumsum(by_t[::-1])[::-1][1:] * np.exp(params[k + 1 :])])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        params = params - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     weights = np.zeros(FEATURES, np.float32)
     weights[used] = params[:k]
     return Model(weights, np.concatenate([params[k : k + 1], params[k] + np.cumsum(np.exp(params[k + 1 :]))]))
@@ -154,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     found = rows["found"].combine_chunks()
     offsets, values = found.offsets.to_numpy(), found.values.to_numpy()
-    return fit([values[a:b].astype(np.int64) for a, b in zip(offsets[:-1], offsets[1:])], grades)
+    return fit([values[a:b] for a, b in zip(offsets[:-1], offsets[1:])], grades)
 
 
 def _scored(batch: pa.RecordBatch, at: int, model: Model | None, keep: float):
