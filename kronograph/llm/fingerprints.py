@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from itertools import chain, compress
 
 import numpy as np
 import xxhash
@@ -36,23 +36,43 @@ from kronograph.llm.common import clean_names, cut, ship, shuffle_partitions, ta
 CELLS, PARAGRAPH_WORDS = 24, 8
 HASHES = 3
 
-_WORD = re.compile(r"\S+|\n")
 _U = np.uint64
 
 
+def _of_line(line: str) -> list[int]:
+    """Digests of a line's paragraphs."""
+    words = line.split()
+    if not words:
+        return []
+    cuts = [k + 1 for k in compress(range(len(words)), map(_ends, words))]
+    if not cuts or cuts[-1] < len(words):
+        cuts.append(len(words))
+    return [xxhash.xxh64_intdigest(" ".join(words[a:b])) for a, b in zip([0, *cuts], cuts)]
+
+
+class _Lines(dict):
+    """Line to its digests, for a few documents: an edited text shares most lines with its document or the next one."""
+
+    def __missing__(self, line: str) -> list[int]:
+        if len(self) > 2000:
+            self.clear()
+        out = self[line] = _of_line(line)
+        return out
+
+
+_lines = _Lines().__getitem__
+
+
 def paragraphs(text: str) -> np.ndarray:
     """Digests of a text's paragraphs; the k-th of several equal ones is a digest of its own."""
-    out, seen, digest = [], {}, xxhash.xxh64_intdigest
-    for line in text.split("\n"):
-        words = line.split()
-        start = 0
-        for k, w in enumerate(words):
-            if k + 1 == len(words) or _ends(w):
-                d = digest(" ".join(words[start : k + 1]))
-                again = seen.get(d, 0)
-                seen[d] = again + 1
-                out.append(digest(f"{d} {again}") if again else d)
-                start = k + 1
+    out = list(chain.from_iterable(map(_lines, text.split("\n"))))
+    if len(set(out)) < len(out):
+        seen: dict[int, int] = {}
+        for k, d in enumerate(out):
+            again = seen.get(d, 0)
+            seen[d] = again + 1
+            if again:
+                out[k] = xxhash.xxh64_intdigest(f"{d} {again}")
     return np.array(out, _U)
 
 
