@@ -39,11 +39,15 @@ STEMS = (3, 4, 5, 6, 7)
 _PARTS = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 
 
+#: Words of the cache, at about 500 bytes each.
+WORD_CACHE = 100_000
+
+
 class _Features(dict):
     """Word to the numbers of its features, emptied at a bound."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 500_000:
+        if len(self) >= WORD_CACHE:
             self.clear()
         before, core, after = _PARTS.match(word).groups()
         shape = "upper" if core.isupper() and len(core) > 1 else "digit" if core.isdigit() else "title" if core.istitle() else "lower" if core.islower() else "mixed"
