@@ -100,6 +100,11 @@ def table(schema: str, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, schema=kinds)
 
 
+def empty(schema: str) -> pa.RecordBatch:
+    kinds = arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in kinds], schema=kinds)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

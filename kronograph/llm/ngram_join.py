@@ -7,17 +7,20 @@ equal sets form a class, and only classes are joined.
    of fixed size. Ordering shingles by (counter, hash) puts common ones last;
    any order common to all documents is right, this one keeps groups small.
 2. Two sets with Jaccard similarity of 0.75 or more share one of their first
-   n - ceil(0.75 n) + 1 shingles in that order. For each such shingle the least
-   class that has it is the hub; hub and holders meet in the hub's block, so any
-   pair that can link shares a block.
+   n - ceil(0.75 n) + 1 shingles in that order. The holders of such a shingle,
+   sorted by size, fall apart where the next size is out of reach; the least class
+   of each part is its hub. Hub and holders meet in the hub's block, so any pair
+   that can link shares a block.
 3. In a block, a signature tree holds in each node the OR of its members' bitmaps
    and the range of their sizes. Dual traversal drops pairs of nodes whose
-   largest possible overlap is too small, or which are one component already,
-   and verifies the rest on the whole sets.
-4. A block of over BLOCK members is cut into chunks that each hold the hub.
+   largest possible overlap is too small. The first traversal uses bitmaps alone
+   (2 to 4 bits for each shingle) and leaves the members that may link at all.
+4. Only their whole sets are brought together, and a second traversal, which also
+   skips nodes that are one component already, verifies what it cannot exclude.
+5. A block of over BLOCK members is cut into chunks that each hold the hub.
    Members that don't link with the hub inside their chunk are then compared
    with every other chunk; the others are in one component already.
-5. Links, a spanning set of them for each block, go to connected components.
+6. Links, a spanning set of them for each block, go to connected components.
 
 No pair that can link is left out: neither step has a cap. Hashes have 64 bits.
 
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kronograph.llm.common import Written, clean_names, cut, free_shuffles, ship, shuffle_partitions, table
+from kronograph.llm.common import Written, clean_names, cut, empty, free_shuffles, ship, shuffle_partitions, table
 from kronograph.operators.components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -50,7 +53,7 @@ class _Words(dict):
     """Word to its hash, emptied at a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -89,22 +92,96 @@ def prefix(found: np.ndarray, counters: np.ndarray, percent: int = PERCENT) -> n
 # -- signature trees -----------------------------------------------------------
 
 
-class Block:
-    """Members of a block, their tree, and which of them are known to be connected."""
+def bitmap(found: np.ndarray) -> bytes:
+    """One bit for each shingle, in 2 to 4 bits of width for each."""
+    width = 1 << max(6, (2 * len(found) - 1).bit_length())
+    flags = np.zeros(width, np.uint8)
+    flags[(found & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int = PERCENT):
-        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), int(sets[i][0])))
-        self.ids, self.sets, self.percent = [ids[i] for i in order], [sets[i] for i in order], percent
-        self.sizes = np.array([len(s) for s in self.sets])
-        m = len(ids)
-        self.up, self.links = list(range(m)), []
-        bits = 1 << min(14, max(8, int(2 * self.sizes.max()).bit_length()))
-        rows = np.repeat(np.arange(m), self.sizes)
-        at = (np.concatenate(self.sets) & np.uint64(bits - 1)).astype(np.int64)
-        flags = np.zeros((m, bits), np.uint8)
-        flags[rows, at] = 1
-        self.maps = np.packbits(flags, axis=1).view(np.uint64)
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of words, brought to the least width among them."""
+    width = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, width // 8), axis=0) for m in maps])
+
+
+class Tree:
+    """Members of a block under a signature tree; pairs that bitmaps and sizes can't exclude go to close()."""
+
+    def __init__(self, ids: list[int], sizes: np.ndarray, maps: list[bytes], percent: int = PERCENT):
+        order = np.lexsort((ids, sizes))
+        self.order, self.percent = order.tolist(), percent
+        self.ids, self.sizes = [ids[i] for i in self.order], sizes[order]
+        self.maps = folded([maps[i] for i in self.order])
         self.excess = self.sizes - np.bitwise_count(self.maps).sum(1).astype(np.int64)
+        self.nodes: dict[tuple[int, int], tuple] = {}
+
+    def least(self, a, b):
+        """Overlap that sets of these sizes need."""
+        return self.percent * (a + b) / (100 + self.percent)
+
+    def halves(self, x):
+        mid = (x[0] + x[1]) // 2
+        return (x[0], mid), (mid, x[1])
+
+    def node(self, x):
+        """(OR of bitmaps, least size, largest size, most tokens that share bits)."""
+        if x not in self.nodes:
+            a, b = x
+            self.nodes[x] = np.bitwise_or.reduce(self.maps[a:b]), self.sizes[a], self.sizes[b - 1], self.excess[a:b].max()
+        return self.nodes[x]
+
+    def possible(self, x, y) -> bool:
+        (p, a, b, e), (q, c, d, f) = self.node(x), self.node(y)
+        if self.percent * c > 100 * b or self.percent * a > 100 * d:
+            return False
+        return int(np.bitwise_count(p & q).sum()) + min(e, f) >= self.least(a, c)
+
+    def traverse(self) -> None:
+        stack = [((0, len(self.ids)), (0, len(self.ids)))]
+        while stack:
+            x, y = stack.pop()
+            if self.settled(x, y) or x != y and not self.possible(x, y):
+                continue
+            if max(x[1] - x[0], y[1] - y[0]) <= LEAF:
+                a, b = self.maps[x[0] : x[1]], self.maps[y[0] : y[1]]
+                n, m = self.sizes[x[0] : x[1], None], self.sizes[None, y[0] : y[1]]
+                most = np.bitwise_count(a[:, None] & b[None]).sum(2) + np.minimum(self.excess[x[0] : x[1], None], self.excess[None, y[0] : y[1]])
+                near = (most >= self.least(n, m)) & (self.percent * np.maximum(n, m) <= 100 * np.minimum(n, m))
+                i, j = np.nonzero(np.triu(near, 1) if x == y else near)
+                self.close(x[0] + i, y[0] + j)
+            elif x == y:
+                a, b = self.halves(x)
+                stack += [(a, b), (b, b), (a, a)]
+            elif x[1] - x[0] >= y[1] - y[0]:
+                stack += [(half, y) for half in self.halves(x)]
+            else:
+                stack += [(x, half) for half in self.halves(y)]
+
+
+class Candidates(Tree):
+    """Which members may link with any other."""
+
+    def find(self) -> list[int]:
+        self.marked = np.zeros(len(self.ids), bool)
+        self.traverse()
+        return [c for c, m in zip(self.ids, self.marked.tolist()) if m]
+
+    def settled(self, x, y) -> bool:
+        return bool(self.marked[x[0] : x[1]].all() and self.marked[y[0] : y[1]].all())
+
+    def close(self, i, j) -> None:
+        self.marked[i] = self.marked[j] = True
+
+
+class Block(Tree):
+    """Members with their whole sets, and which of them are known to be connected."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int = PERCENT):
+        super().__init__(ids, np.array([len(s) for s in sets]), [bitmap(s) for s in sets], percent)
+        self.sets = [sets[i] for i in self.order]
+        self.up, self.links = list(range(len(ids))), []
 
     def root(self, i: int) -> int:
         up = self.up
@@ -130,66 +207,63 @@ class Block:
         self.links.append((self.ids[i], self.ids[j]))
         return True
 
-    def least(self, a, b):
-        """Overlap that sets of these sizes need."""
-        return self.percent * (a + b) / (100 + self.percent)
-
     def join(self, hub: int | None = None) -> None:
         """Find the components of the block; the hub is compared with all first."""
-        m = len(self.ids)
         if hub is not None:
             i = self.ids.index(hub)
-            for j in range(m):
+            for j in range(len(self.ids)):
                 if j != i and self.percent * max(self.sizes[i], self.sizes[j]) <= 100 * min(self.sizes[i], self.sizes[j]):
                     self.verify(i, j)
-        self.nodes: dict[tuple[int, int], tuple] = {}
-        stack = [((0, m), (0, m))]
-        while stack:
-            x, y = stack.pop()
-            if x != y and not self.possible(x, y):
-                continue
-            if self.one(x, y):
-                continue
-            if max(x[1] - x[0], y[1] - y[0]) <= LEAF:
-                self.leaves(x, y)
-                continue
-            if x == y:
-                a, b = self.halves(x)
-                stack += [(a, b), (b, b), (a, a)]
-            elif x[1] - x[0] >= y[1] - y[0]:
-                stack += [(half, y) for half in self.halves(x)]
-            else:
-                stack += [(x, half) for half in self.halves(y)]
-
-    def halves(self, x):
-        mid = (x[0] + x[1]) // 2
-        return (x[0], mid), (mid, x[1])
-
-    def node(self, x):
-        """(OR of bitmaps, least size, largest size, most tokens that share bits)."""
-        if x not in self.nodes:
-            a, b = x
-            self.nodes[x] = np.bitwise_or.reduce(self.maps[a:b]), self.sizes[a], self.sizes[b - 1], self.excess[a:b].max()
-        return self.nodes[x]
+        self.traverse()
 
-    def possible(self, x, y) -> bool:
-        (p, a, b, e), (q, c, d, f) = self.node(x), self.node(y)
-        if self.percent * c > 100 * b or self.percent * a > 100 * d:
-            return False
-        return int(np.bitwise_count(p & q).sum()) + min(e, f) >= self.least(a, c)
-
-    def one(self, x, y) -> bool:
+    def settled(self, x, y) -> bool:
         """Whether all members of both nodes are connected already."""
         first = self.root(x[0])
         return all(self.root(i) == first for i in range(*x)) and (x == y or all(self.root(i) == first for i in range(*y)))
 
-    def leaves(self, x, y) -> None:
-        a, b = self.maps[x[0] : x[1]], self.maps[y[0] : y[1]]
-        n, m = self.sizes[x[0] : x[1], None], self.sizes[None, y[0] : y[1]]
-        most = np.bitwise_count(a[:, None] & b[None]).sum(2) + np.minimum(self.excess[x[0] : x[1], None], self.excess[None, y[0] : y[1]])
-        for i, j in zip(*np.nonzero((most >= self.least(n, m)) & (self.percent * np.maximum(n, m) <= 100 * np.minimum(n, m)))):
-            if x[0] + i < y[0] + j or x != y and x[0] + i != y[0] + j:
-                self.verify(x[0] + int(i), y[0] + int(j))
+    def close(self, i, j) -> None:
+        for a, b in zip(i.tolist(), j.tolist()):
+            self.verify(a, b)
+
+
+# -- a Bloom filter of row keys ------------------------------------------------
+
+#: Bits for each key, hashes, and the most bits in all (64 MB); beyond that more rows pass, none is lost.
+BITS, HASHES, MOST_BITS = 16, 4, 1 << 29
+
+
+def _bits(keys: np.ndarray, size: int) -> np.ndarray:
+    x = keys.view(np.uint64)
+    y = (x ^ (x >> np.uint64(33))) * _ODD[4] | np.uint64(1)
+    return np.concatenate([((x + np.uint64(k) * y) >> np.uint64(16)) & np.uint64(size - 1) for k in range(HASHES)]).astype(np.int64)
+
+
+def bloom_filter(rows: DataFrame, key: str) -> np.ndarray:
+    """Bits of a Bloom filter of a bigint column; its size follows the number of rows up to MOST_BITS."""
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(16, (BITS * rows.count() - 1).bit_length()))
+    step = size // 8 // 64
+
+    def mark(batches):
+        flags = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = _bits(np.ascontiguousarray(batch.column(0).to_numpy()), size)
+            np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield table("part int, flags binary", {"part": list(range(64)), "flags": [flags[k * step : (k + 1) * step].tobytes() for k in range(64)]})
+
+    def merged(t: pa.Table) -> pa.Table:
+        flags = np.bitwise_or.reduce([np.frombuffer(f, np.uint8) for f in t["flags"].to_pylist()])
+        return pa.table({"part": pa.array([t["part"][0].as_py()], pa.int32()), "flags": pa.array([flags.tobytes()])})
+
+    parts = rows.select(key).coalesce(8).mapInArrow(mark, "part int, flags binary").groupBy("part").applyInArrow(merged, "part int, flags binary").collect()
+    out = np.zeros(size // 8, np.uint8)
+    for r in parts:
+        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["flags"], np.uint8)
+    return out
+
+
+def in_filter(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _bits(np.ascontiguousarray(keys), 8 * len(flags)).reshape(HASHES, -1)
+    return ((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
 
 
 # -- the operator --------------------------------------------------------------
@@ -219,32 +293,34 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     ship(spark)
     docs = docs.withColumn("hashed", F.xxhash64("text"))
     per_row = SKETCH // SKETCH_ROWS
-    first_schema = "doc_id bigint, hashed bigint, class bigint, n bigint, part int, counts binary"
+    first_schema = "doc_id bigint, hashed bigint, class bigint, n bigint, signature binary, part int, counts binary"
 
     def first(batches):
         counts, seen = np.zeros(SKETCH, np.int64), set()
         for batch in batches:
             for part in cut(batch, ["text"]):
-                classes, sizes = [], []
+                classes, sizes, maps = [], [], []
                 for text in part.column(1).to_pylist():
                     found = shingles(text, words)
                     sizes.append(len(found))
                     classes.append(class_of(found) if len(found) else None)
+                    maps.append(None)
                     if len(found) and classes[-1] not in seen:
                         seen.add(classes[-1])
+                        maps[-1] = bitmap(found)
                         counts += np.bincount((found >> _SHIFT).astype(np.int64), minlength=SKETCH) if len(found) > SKETCH // 8 else 0
                         if len(found) <= SKETCH // 8:
                             np.add.at(counts, (found >> _SHIFT).astype(np.int64), 1)
                         if len(seen) > 500_000:
                             seen.clear()
                 none = [None] * part.num_rows
-                yield table(first_schema, {"doc_id": part.column(0), "hashed": part.column(2), "class": classes, "n": sizes, "part": none, "counts": none})
+                yield table(first_schema, {"doc_id": part.column(0), "hashed": part.column(2), "class": classes, "n": sizes, "signature": maps, "part": none, "counts": none})
         rows = [counts[k * per_row : (k + 1) * per_row].astype("<u4").tobytes() for k in range(SKETCH_ROWS)]
         none = [None] * SKETCH_ROWS
-        yield table(first_schema, {"doc_id": none, "hashed": none, "class": none, "n": none, "part": list(range(SKETCH_ROWS)), "counts": rows})
+        yield table(first_schema, {"doc_id": none, "hashed": none, "class": none, "n": none, "signature": none, "part": list(range(SKETCH_ROWS)), "counts": rows})
 
     base = Written(docs.mapInArrow(first, first_schema), "shingles")
-    rows = base.read().filter("part is null").drop("part", "counts")
+    rows = base.read().filter("part is null").select("doc_id", "hashed", "class", "n")
 
     def added(t: pa.Table) -> pa.Table:
         total = sum((np.frombuffer(c, "<u4").astype(np.int64) for c in t["counts"].to_pylist()), np.zeros(per_row, np.int64))
@@ -257,11 +333,13 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         counters[r["part"] * per_row : (r["part"] + 1) * per_row] = np.frombuffer(r["counts"], "<u4")
     shared = spark.sparkContext.broadcast(counters)
 
+    key_schema = "key bigint, n int, class bigint"
+
     def keys(batches):
         order, seen = shared.value, set()
         for batch in batches:
             for part in cut(batch, ["text"], 2 << 20):
-                out, classes = [], []
+                out, classes, sizes = [], [], []
                 for text in part.column(0).to_pylist():
                     found = shingles(text, words)
                     if len(found):
@@ -270,29 +348,33 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                             seen.add(c)
                             out.append(prefix(found, order, percent))
                             classes.append(c)
+                            sizes.append(len(found))
                 if len(seen) > 500_000:
                     seen.clear()
                 if out:
-                    yield table("key bigint, class bigint", {"key": pa.array(np.concatenate(out).view(np.int64)), "class": pa.array(np.repeat(np.array(classes, np.int64), [len(o) for o in out]))})
+                    each = [len(o) for o in out]
+                    yield table(key_schema, {"key": np.concatenate(out).view(np.int64), "n": np.repeat(np.array(sizes, np.int32), each), "class": np.repeat(np.array(classes, np.int64), each)})
 
     def hubs(batches):
-        """Rows come sorted by key and class: the first class of a key is its hub."""
-        last_key, last_hub = None, 0
+        """Rows come sorted by key, size and class: the first class within reach is the hub."""
+        last, last_hub = None, 0
         for batch in batches:
-            key, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, n, c = (batch.column(k).to_numpy() for k in range(3))
             if not len(key):
                 continue
-            new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-            group = np.cumsum(new)
-            starts = np.concatenate([[last_hub], c[new]])
-            hub = starts[group]
-            last_key, last_hub = key[-1], hub[-1]
+            before_key, before_n = (np.concatenate([[x[0]], x[:-1]]) for x in (key, n))
+            if last is not None:
+                before_key[0], before_n[0] = last
+            new = (key != before_key) | (100 * before_n.astype(np.int64) < percent * n.astype(np.int64))
+            new[0] |= last is None
+            hub = np.concatenate([[last_hub], c[new]])[np.cumsum(new)]
+            last, last_hub = (key[-1], n[-1]), hub[-1]
             pick = hub != c
             both = np.unique(np.stack([c[pick], hub[pick]], 1), axis=0) if pick.any() else np.zeros((0, 2), np.int64)
-            yield table("class bigint, hub bigint", {"class": pa.array(np.ascontiguousarray(both[:, 0])), "hub": pa.array(np.ascontiguousarray(both[:, 1]))})
+            yield table("class bigint, hub bigint", {"class": np.ascontiguousarray(both[:, 0]), "hub": np.ascontiguousarray(both[:, 1])})
 
     partitions = shuffle_partitions(spark)
-    keyed = docs.select("text").mapInArrow(keys, "key bigint, class bigint").repartition(partitions, "key").sortWithinPartitions("key", "class")
+    keyed = docs.select("text").mapInArrow(keys, key_schema).repartition(partitions, "key").sortWithinPartitions("key", "n", "class")
     holders = Written(keyed.mapInArrow(hubs, "class bigint, hub bigint").distinct(), "hubs")
     del keyed
     free_shuffles(spark)
@@ -303,20 +385,51 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     member = holders.read().join(counted.read(), "hub").select("class", "hub", F.pmod(F.xxhash64("class", "hub"), F.col("chunks")).alias("chunk"), "chunks")
     itself = counted.read().select(F.col("hub").alias("class"), "hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "chunks")
     members = Written(member.unionByName(itself), "members")
+    # blocks of one chunk keep the members that bitmaps say may link
+    single = members.read().filter("chunks = 1").select("class", "hub")
+    maps = base.read().filter("signature is not null").join(single.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
+    near_schema = "class bigint, hub bigint, chunk bigint, chunks bigint"
+
+    def near(batches):
+        at, ids, sizes, found = None, [], [], []
+
+        def finish():
+            kept = Candidates(ids, np.array(sizes), found, percent).find() if len(ids) > 1 else []
+            return [(c, at, 0, 1) for c in kept]
+
+        for batch in batches:
+            out = []
+            for hub, c, n, m in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if hub != at:
+                    out += finish()
+                    at, ids, sizes, found = hub, [], [], []
+                ids.append(c)
+                sizes.append(n)
+                found.append(m)
+            yield table(near_schema, dict(zip(("class", "hub", "chunk", "chunks"), zip(*out)))) if out else empty(near_schema)
+        out = finish()
+        yield table(near_schema, dict(zip(("class", "hub", "chunk", "chunks"), zip(*out)))) if out else empty(near_schema)
+
+    marked = single.join(maps, "class").select("hub", "class", "n", "signature").repartition(partitions, "hub").sortWithinPartitions("hub", "class").mapInArrow(near, near_schema)
+    members = Written(marked.unionByName(members.read().filter("chunks > 1")), "near")
+    free_shuffles(spark)
     # one row of the input stands for each class that is in a block
     wanted = members.read().select("class").distinct()
     stands = rows.filter("n > 0").groupBy("class").agg(F.min(F.struct("hashed", "doc_id")).alias("row")).join(wanted, "class", "left_semi")
-    stands = Written(stands.select("class", F.col("row.hashed").alias("hashed"), F.col("row.doc_id").alias("doc_id")), "stands")
-    named = stands.read()
-    found = docs.alias("d").join(named.alias("s"), (F.col("d.hashed") == F.col("s.hashed")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))).select(F.col("s.class").alias("class"), "d.text")
+    stands = Written(stands.select(F.xxhash64("row.hashed", "row.doc_id").alias("key")), "stands")
+    filtered = bloom_filter(stands.read(), "key")
+    shared_bits = spark.sparkContext.broadcast(filtered)
 
     def sets(batches):
+        bits = shared_bits.value
         for batch in batches:
+            batch = batch.filter(pa.array(in_filter(bits, batch.column(1).to_numpy())))
             for part in cut(batch, ["text"], 2 << 20):
-                made = [shingles(t, words) for t in part.column(1).to_pylist()]
-                right = [len(f) > 0 and class_of(f) == c for f, c in zip(made, part.column(0).to_pylist())]
-                yield table("class bigint, set binary", {"class": [c for c, r in zip(part.column(0).to_pylist(), right) if r], "set": [f.tobytes() for f, r in zip(made, right) if r]})
+                made = [shingles(t, words) for t in part.column(0).to_pylist()]
+                yield table("class bigint, set binary", {"class": [class_of(f) for f in made if len(f)], "set": [f.tobytes() for f in made if len(f)]})
 
+    # rows that the filter lets through by chance find no block, or are one more copy there
+    found = docs.select("text", F.xxhash64("hashed", "doc_id").alias("key"))
     kept = Written(found.mapInArrow(sets, "class bigint, set binary"), "sets")
     free_shuffles(spark)
     linked_schema = "src bigint, dst bigint, alone boolean"
