@@ -87,8 +87,13 @@ class _Ends(dict):
 _ends = _Ends().__getitem__
 
 
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    x = x ^ _U(0x9E3779B97F4A7C15 * (salt + 1) % 2**64)
+#: One salt for each part of a sketch, and one for check values.
+_SALTS = np.array([0x9E3779B97F4A7C15 * (salt + 1) % 2**64 for salt in (*range(HASHES), 7)], _U)[:, None]
+
+
+def _mixed(digests: np.ndarray) -> np.ndarray:
+    """Rows of hashes of the digests: one for each part of a sketch, then their check values."""
+    x = digests ^ _SALTS
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
@@ -97,21 +102,24 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 class Sketch:
     """HASHES parts of cells; a digest has one cell in each part."""
 
-    def __init__(self, digests: np.ndarray, cells: int):
+    def __init__(self, digests: np.ndarray, cells: int, mixed: np.ndarray | None = None):
         self.part = max(1, cells // HASHES)
         n = self.part * HASHES
         self.count, self.sums, self.checks = np.zeros(n, np.int64), np.zeros(n, _U), np.zeros(n, _U)
+        self.digests, self.mixed = digests, _mixed(digests) if mixed is None else mixed
         self.n = len(digests)
-        self.change(digests, np.ones(len(digests), np.int64))
+        self.change(digests, np.ones(len(digests), np.int64), self.mixed)
 
-    def places(self, digests: np.ndarray) -> np.ndarray:
-        return np.concatenate([(_mix(digests, k) % _U(self.part)).astype(np.int64) + k * self.part for k in range(HASHES)])
+    def change(self, digests: np.ndarray, by: np.ndarray, mixed: np.ndarray) -> None:
+        at = (mixed[:HASHES] % _U(self.part)).astype(np.int64)
+        at += np.arange(0, HASHES * self.part, self.part)[:, None]
+        at, signed = at.ravel(), by.astype(_U)
+        for cells, change in ((self.count, by), (self.sums, digests * signed), (self.checks, mixed[HASHES] * signed)):
+            np.add.at(cells, at, np.concatenate((change,) * HASHES))
 
-    def change(self, digests: np.ndarray, by: np.ndarray) -> None:
-        at, signed = self.places(digests), by.astype(_U)
-        np.add.at(self.count, at, np.tile(by, HASHES))
-        np.add.at(self.sums, at, np.tile(digests * signed, HASHES))
-        np.add.at(self.checks, at, np.tile(_mix(digests, 7) * signed, HASHES))
+    def resized(self, cells: int) -> Sketch:
+        """A sketch of the same digests with another number of cells."""
+        return Sketch(self.digests, cells, self.mixed)
 
     def packed(self) -> str:
         raw = self.n.to_bytes(4, "little") + self.count.astype("<i4").tobytes() + self.sums.tobytes() + self.checks.astype("<u4").tobytes()
@@ -122,20 +130,26 @@ class Sketch:
         left = object.__new__(Sketch)
         left.part, left.n = self.part, 0
         left.count, left.sums, left.checks = self.count - other.count, self.sums - other.sums, self.checks - other.checks
-        here, there = [], []
+        here, there, found = [], [], 0
         while True:
             at = np.flatnonzero(np.abs(left.count) == 1)
+            if not len(at):
+                break
             sign = left.count[at]
-            digests = left.sums[at] * sign.astype(_U)
-            pure = left.checks[at] * sign.astype(_U) == _mix(digests, 7)
-            digests, first = np.unique(digests[pure], return_index=True)
-            if not len(digests):
+            signed = sign.astype(_U)
+            digests = left.sums[at] * signed
+            mixed = _mixed(digests)
+            pure = np.flatnonzero(left.checks[at] * signed == mixed[HASHES])
+            if not len(pure):
                 break
-            sign = sign[pure][first]
+            digests, first = np.unique(digests[pure], return_index=True)
+            first = pure[first]
+            sign = sign[first]
             here.append(digests[sign > 0])
             there.append(digests[sign < 0])
-            left.change(digests, -sign)
-            if sum(map(len, here)) + sum(map(len, there)) > self.n + other.n:
+            left.change(digests, -sign, mixed[:, first])
+            found += len(digests)
+            if found > self.n + other.n:
                 return None
         if left.count.any() or left.sums.any():
             return None
@@ -143,17 +157,17 @@ class Sketch:
         return np.concatenate([none, *here]), np.concatenate([none, *there])
 
 
-def likeness(a: np.ndarray, b: np.ndarray, x: Sketch, y: Sketch) -> float:
-    """2 x shared / all paragraphs, from sketches x and y of digests a and b; larger sketches where these don't peel."""
-    n = len(a) + len(b)
+def likeness(x: Sketch, y: Sketch) -> float:
+    """2 x shared / all paragraphs of two sketches of one size; both are made larger where they don't peel."""
+    n = x.n + y.n
     if not n:
         return 1.0
     cells = len(x.count)
-    found = x.difference(y) if abs(len(a) - len(b)) <= cells else None
+    found = x.difference(y) if abs(x.n - y.n) <= cells else None
     while found is None:
         cells = max(2 * cells, 3 * n // 2 + 3)
-        found = Sketch(a, cells).difference(Sketch(b, cells))
-    return 2 * (len(a) - len(found[0])) / n
+        found = x.resized(cells).difference(y.resized(cells))
+    return 2 * (x.n - len(found[0])) / n
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
@@ -185,14 +199,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def finished(doc, follower):
-        doc_id, text, digests, sketch = doc
+        doc_id, text, sketch = doc
         quarter = len(text) // 4
         edited = text[: len(text) - quarter] + follower[1][:quarter]
-        changed = paragraphs(edited)
-        other = Sketch(changed, cells)
+        other = Sketch(paragraphs(edited), cells)
         return (
             doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), sketch.packed(), other.packed(),
-            likeness(digests, changed, sketch, other), likeness(digests, follower[2], sketch, follower[3]),
+            likeness(sketch, other), likeness(sketch, follower[2]),
         )
 
     def run(batches):
@@ -203,8 +216,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if closes and closed and group == at:
                         continue  # several documents have the first id: the first of them follows
                     text = text or ""
-                    digests = paragraphs(text)
-                    doc = doc_id, text, digests, Sketch(digests, cells)
+                    doc = doc_id, text, Sketch(paragraphs(text), cells)
                     if last is not None and group == at:
                         out.append(finished(last, doc))
                     last, at, closed = doc, group, bool(closes)
