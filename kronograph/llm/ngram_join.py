@@ -14,7 +14,8 @@ equal sets form a class, and only classes are joined.
 3. In a block, a signature tree holds in each node the OR of its members' bitmaps
    and the range of their sizes. Dual traversal drops pairs of nodes whose
    largest possible overlap is too small. The first traversal uses bitmaps alone
-   (2 to 4 bits for each shingle) and leaves the members that may link at all.
+   (2 to 4 bits for each shingle) and leaves groups of members that may link. The
+   same group from several blocks counts once.
 4. Only their whole sets are brought together, and a second traversal, which also
    skips nodes that are one component already, verifies what it cannot exclude.
 5. A block of over BLOCK members is cut into chunks that each hold the hub.
@@ -44,6 +45,8 @@ from kronograph.operators.components import connected_components
 WORDS, PERCENT = 5, 75
 #: Counters of the corpus sketch (4 bytes each), in SKETCH_ROWS rows; members of a block that are compared at once; members of a leaf.
 SKETCH, SKETCH_ROWS, BLOCK, LEAF = 1 << 18, 64, 512, 16
+#: Bits of a shingle that find its holders; two shingles alike in them only make a block larger.
+KEY_BITS = np.uint64(2**48 - 1)
 _SHIFT = np.uint64(64 - SKETCH.bit_length() + 1)
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -161,18 +164,24 @@ class Tree:
 
 
 class Candidates(Tree):
-    """Which members may link with any other."""
+    """Groups of members that may link, directly or by way of each other."""
 
-    def find(self) -> list[int]:
-        self.marked = np.zeros(len(self.ids), bool)
+    def find(self) -> list[list[int]]:
+        self.label = np.arange(len(self.ids))
         self.traverse()
-        return [c for c, m in zip(self.ids, self.marked.tolist()) if m]
+        groups: dict[int, list[int]] = {}
+        for c, g in zip(self.ids, self.label.tolist()):
+            groups.setdefault(g, []).append(c)
+        return [sorted(g) for g in groups.values() if len(g) > 1]
 
     def settled(self, x, y) -> bool:
-        return bool(self.marked[x[0] : x[1]].all() and self.marked[y[0] : y[1]].all())
+        first = self.label[x[0]]
+        return bool((self.label[x[0] : x[1]] == first).all() and (self.label[y[0] : y[1]] == first).all())
 
     def close(self, i, j) -> None:
-        self.marked[i] = self.marked[j] = True
+        while (apart := np.flatnonzero(self.label[i] != self.label[j])).size:
+            a, b = self.label[i[apart[0]]], self.label[j[apart[0]]]
+            self.label[self.label == max(a, b)] = min(a, b)
 
 
 class Block(Tree):
@@ -353,7 +362,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                     seen.clear()
                 if out:
                     each = [len(o) for o in out]
-                    yield table(key_schema, {"key": np.concatenate(out).view(np.int64), "n": np.repeat(np.array(sizes, np.int32), each), "class": np.repeat(np.array(classes, np.int64), each)})
+                    yield table(key_schema, {"key": (np.concatenate(out) & KEY_BITS).view(np.int64), "n": np.repeat(np.array(sizes, np.int32), each), "class": np.repeat(np.array(classes, np.int64), each)})
 
     def hubs(batches):
         """Rows come sorted by key, size and class: the first class within reach is the hub."""
@@ -385,7 +394,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     member = holders.read().join(counted.read(), "hub").select("class", "hub", F.pmod(F.xxhash64("class", "hub"), F.col("chunks")).alias("chunk"), "chunks")
     itself = counted.read().select(F.col("hub").alias("class"), "hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "chunks")
     members = Written(member.unionByName(itself), "members")
-    # blocks of one chunk keep the members that bitmaps say may link
+    # blocks of one chunk become the groups that bitmaps say may link, named by their members
     single = members.read().filter("chunks = 1").select("class", "hub")
     maps = base.read().filter("signature is not null").join(single.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
     near_schema = "class bigint, hub bigint, chunk bigint, chunks bigint"
@@ -394,8 +403,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         at, ids, sizes, found = None, [], [], []
 
         def finish():
-            kept = Candidates(ids, np.array(sizes), found, percent).find() if len(ids) > 1 else []
-            return [(c, at, 0, 1) for c in kept]
+            groups = Candidates(ids, np.array(sizes), found, percent).find() if len(ids) > 1 else []
+            return [(c, class_of(np.array(g)), 0, 1) for g in groups for c in g]
 
         for batch in batches:
             out = []
@@ -411,7 +420,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         yield table(near_schema, dict(zip(("class", "hub", "chunk", "chunks"), zip(*out)))) if out else empty(near_schema)
 
     marked = single.join(maps, "class").select("hub", "class", "n", "signature").repartition(partitions, "hub").sortWithinPartitions("hub", "class").mapInArrow(near, near_schema)
-    members = Written(marked.unionByName(members.read().filter("chunks > 1")), "near")
+    members = Written(marked.distinct().unionByName(members.read().filter("chunks > 1")), "near")
     free_shuffles(spark)
     # one row of the input stands for each class that is in a block
     wanted = members.read().select("class").distinct()
