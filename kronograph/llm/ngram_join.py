@@ -92,6 +92,34 @@ def prefix(found: np.ndarray, counters: np.ndarray, percent: int = PERCENT) -> n
     return found[order[: n - -(-percent * n // 100) + 1]]
 
 
+#: Values of a set that are coded at once, a multiple of 8.
+_STEP = 1 << 16
+
+
+def coded(found: np.ndarray) -> bytes:
+    """A sorted set by Elias and Fano's code: low bits as they are, high bits as gaps in unary; about 66 - log2(n) bits each."""
+    n, high = len(found), max(1, (len(found) - 1).bit_length())
+    flags = np.zeros(n + (1 << high), np.uint8)
+    flags[(found >> np.uint64(64 - high)).astype(np.int64) + np.arange(n)] = 1
+    lows = [np.packbits(np.unpackbits(found[k : k + _STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, high:]).tobytes() for k in range(0, n, _STEP)]
+    return b"".join([n.to_bytes(8, "little"), np.packbits(flags).tobytes(), *lows])
+
+
+def decoded(data: bytes) -> np.ndarray:
+    raw, n = np.frombuffer(data, np.uint8), int.from_bytes(data[:8], "little")
+    high = max(1, (n - 1).bit_length())
+    at = 8 + (n + (1 << high) + 7) // 8
+    found = (np.flatnonzero(np.unpackbits(raw[8:at])) - np.arange(n)).astype(np.uint64) << np.uint64(64 - high)
+    for k in range(0, n, _STEP):
+        m = min(_STEP, n - k)
+        size = (m * (64 - high) + 7) // 8
+        bits = np.zeros((m, 64), np.uint8)
+        bits[:, high:] = np.unpackbits(raw[at : at + size], count=m * (64 - high)).reshape(m, -1)
+        found[k : k + m] |= np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+        at += size
+    return found
+
+
 # -- signature trees -----------------------------------------------------------
 
 
@@ -435,7 +463,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
             batch = batch.filter(pa.array(in_filter(bits, batch.column(1).to_numpy())))
             for part in cut(batch, ["text"], 2 << 20):
                 made = [shingles(t, words) for t in part.column(0).to_pylist()]
-                yield table("class bigint, set binary", {"class": [class_of(f) for f in made if len(f)], "set": [f.tobytes() for f in made if len(f)]})
+                yield table("class bigint, set binary", {"class": [class_of(f) for f in made if len(f)], "set": [coded(f) for f in made if len(f)]})
 
     # rows that the filter lets through by chance find no block, or are one more copy there
     found = docs.select("text", F.xxhash64("hashed", "doc_id").alias("key"))
@@ -454,7 +482,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                         at, ids, found = (hub, a, b), [], []
                     if not ids or ids[-1] != c:
                         ids.append(c)
-                        found.append(np.frombuffer(s, np.uint64))
+                        found.append(decoded(s))
             if at is not None and len(ids) > 1:
                 yield finish(at[0], ids, found)
 

@@ -261,3 +261,12 @@ def test_fingerprints(docs, none, texts, spark):
         assert abs(got[i]["near_edited"] - like(a, b)) < 1e-12 and abs(got[i]["near_next"] - like(a, c)) < 1e-12
     assert got[0]["fingerprint"] == got[1]["fingerprint"] != got[3]["fingerprint"]
     assert fingerprints.fingerprints(docs).count() == len(texts) and fingerprints.fingerprints(none).count() == 0
+
+
+def test_coded_sets():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 8, 9, 1000, 65537):
+        found = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert np.array_equal(ngram_join.decoded(ngram_join.coded(found)), found)
+    ends = np.array([0, 1, 2**64 - 1], np.uint64)
+    assert np.array_equal(ngram_join.decoded(ngram_join.coded(ends)), ends)
