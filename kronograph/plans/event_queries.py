@@ -219,7 +219,7 @@ def _(spark, d):
 
 @query("late_events", "SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT * FROM events WHERE user_id = 7)) WHERE ts < seen - INTERVAL 10 MINUTE")
 def _(spark, d):
-    e = events(spark, d).filter("user_id = 7")
+    e = events(spark, d)
     seen = F.max("ts").over(Window.partitionBy("user_id").orderBy("value", "event_id").rowsBetween(Window.unboundedPreceding, -1))
     return e.withColumn("seen", seen).filter("ts < seen - interval 10 minutes").select("event_id")
 
