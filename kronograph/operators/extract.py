@@ -48,9 +48,9 @@ def mention_pairs(names: Column) -> Column:
 
 
 def ner(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, label, score) of each rule's matches."""
+    """(id, text, label, score) of each rule's matches (E1); words end where Unicode says so, as in spans()."""
     def found(label, rule):
-        return F.transform(F.regexp_extract_all(text_col, F.lit(rule), 1), lambda m: F.struct(m.alias("text"), F.lit(label).alias("label")))
+        return F.transform(F.regexp_extract_all(text_col, F.lit("(?U)" + rule), 1), lambda m: F.struct(m.alias("text"), F.lit(label).alias("label")))
 
     rows = F.flatten(F.array(*(found(label, rule) for label, rule in NER.items())))
     return df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(rows)).alias("e")).select("id", "e.text", "e.label", F.lit(0.8).alias("score"))

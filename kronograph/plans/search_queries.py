@@ -89,7 +89,7 @@ def _(spark, d):
 
 @query("fuzzy_terms", f"WITH v AS (SELECT DISTINCT unnest({TOKENS}) AS token FROM documents) SELECT token, 'thing' AS term FROM v WHERE token = strip_accents(token) AND levenshtein(token[1:5], 'thing') <= 1")
 def _(spark, d):
-    v = search.postings(table(spark, d, "documents"), "doc_id", {"content": "text"}).select("token").distinct().filter(F.col("token").rlike("^[\\x00-\\x7f]*$"))
+    v = search.postings(table(spark, d, "documents"), "doc_id", {"content": "text"}).select("token").distinct()
     return search.fuzzy_terms(v, "thing", 1)
 
 

@@ -46,7 +46,7 @@ def _(spark, d):
 
 @query("ner_rules", "SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+ [A-Z][a-z]+)\\b', 1)) AS text, 'Person' AS label, 0.8::DOUBLE AS score FROM documents WHERE lang = 'en' AND strlen(text) = length(text) UNION ALL SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b([A-Z][A-Za-z]* (?:Inc|Corp|LLC|Ltd|Company|University))\\b', 1)), 'Organization', 0.8 FROM documents WHERE lang = 'en' AND strlen(text) = length(text) UNION ALL SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b((?:San|New|Los) [A-Z][a-z]+)\\b', 1)), 'Location', 0.8 FROM documents WHERE lang = 'en' AND strlen(text) = length(text)")
 def _(spark, d):
-    return extract.ner(table(spark, d, "documents").filter("lang = 'en' and octet_length(text) = length(text)"), "doc_id", "text")
+    return extract.ner(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("message_relations", "SELECT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.-]+\\.[a-z]+')) AS target FROM documents")

@@ -1,8 +1,11 @@
 """Registered queries over whole tables: no subset of ids, languages or blocks is left out."""
 
+import re
+
 import duckdb
 
 from kronograph import plans
+from kronograph.operators import extract, search
 
 
 def ours(spark, sf, name):
@@ -18,3 +21,35 @@ def theirs(sf, table, sql):
 def test_late_events_of_all_users(spark, sf):
     sql = "SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) WHERE ts < seen - INTERVAL 10 MINUTE"
     assert ours(spark, sf, "late_events") == theirs(sf, "events", sql)
+
+
+def test_ner_rules_of_all_documents(spark, sf):
+    docs = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
+    want = {(k, m, label, 0.8) for k, t in docs for label, rule in extract.NER.items() for m in re.findall(rule, t or "")}
+    assert ours(spark, sf, "ner_rules") == sorted(want)
+
+
+def test_ner_beside_letters_that_are_not_ascii(spark):
+    text = "\u00c9Anna Berg, Jos\u00e9 Mar, Max M\u00fcller, New York\u00e9, Otto Kern \u2013 Acme Ltd"
+    got = extract.ner(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text").collect()
+    assert sorted((r["text"], r["label"]) for r in got) == sorted((m, label) for label, rule in extract.NER.items() for m in re.findall(rule, text))
+    assert ("Otto Kern", "Person") in {(r["text"], r["label"]) for r in got}
+
+
+def distance(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
+def test_fuzzy_terms_of_all_tokens(spark, sf, tmp_path):
+    docs = spark.createDataFrame([(1, "thing th\u00efng th\u00efngs \u00e9thin xyz")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert ours(spark, str(tmp_path), "fuzzy_terms") == [("thing", "thing"), ("th\u00efng", "thing"), ("th\u00efngs", "thing")]
+    for at in (sf, str(tmp_path)):
+        tokens = [r["token"] for r in search.postings(spark.read.parquet(f"{at}/documents.parquet"), "doc_id", {"content": "text"}).select("token").distinct().collect()]
+        assert ours(spark, at, "fuzzy_terms") == sorted((t, "thing") for t in tokens if distance(t[:5], "thing") <= 1)
