@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kronograph.functions.text import end_trimmed, first_match, similarity, words
+from kronograph.sources.shared import written
 
 #: Stop words of capitalised entities, relation keywords in order, and synonyms of relations.
 STOP = ("The", "This", "That", "These", "Those", "And", "But", "For", "With", "From", "They", "When", "Where")
@@ -99,49 +100,63 @@ def resolve_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, id_col: str, name_col: str, least: float) -> DataFrame:
-    """(a, b, similarity) of names at least that similar (J7, E5), a < b.
-
-    Blocked by the first three letters, and by length: names whose lengths
-    differ by more than the distance allows don't meet. The edit distance stops
-    at that bound. Equal names meet once, by their least id.
+    """(a, b, similarity) of names at least that similar (J7, E5), a < b; no pair is lost.
+
+    An edit changes two of a padded name's pairs of letters at most, so from 0.5
+    on similar names share one, and one among the first of each by any fixed
+    order. Only such names meet, and only if their lengths differ by no more
+    than the distance allows. Names that are not ASCII (the similarity counts
+    bytes, the distance letters) and lower thresholds meet by length alone.
+    Equal names meet once, by their least id.
     """
-    names = df.groupBy(F.lower(name_col).alias("name")).agg(F.min(id_col).alias("id"))
-    blocked = names.select("id", "name", F.substring("name", 1, 3).alias("block"), F.length("name").alias("n"))
-    a, b = blocked.alias("a"), blocked.alias("b")
-    most = F.floor((1 - least) * F.greatest("a.n", "b.n") + F.lit(1e-9))
-    near = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & (F.abs(F.col("a.n") - F.col("b.n")) <= most))
-    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), similarity(F.col("a.name"), F.col("b.name")).alias("similarity")).filter(F.col("similarity") >= least)
+    return _near(_distinct_names(df, id_col, name_col), least)
+
+
+def _distinct_names(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    return df.groupBy(F.lower(name_col).alias("name")).agg(F.min(id_col).alias("id"))
+
+
+def _near(names: DataFrame, least: float) -> DataFrame:
+    sized = names.select("id", "name", F.length("name").alias("n"), F.octet_length("name").alias("bytes"))
+    most = F.floor((1 - least) * F.greatest("a.bytes", "b.bytes") + F.lit(1e-9))
+    in_band = F.abs(F.col("a.n") - F.col("b.n")) <= most
+    pair = [F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("id", "name")]
+    plain = F.col("n") == F.col("bytes") if least >= 0.5 else F.lit(False)
+
+    padded = F.concat(F.lit("^"), "name", F.lit("$"))
+    grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda k: F.xxhash64(F.substring(padded, k, F.lit(2))))))
+    # of n + 1 pairs of letters at least 1 + (2 least - 1) n are shared; a letter pair that occurs again counts once, which only lengthens what is kept
+    kept = F.slice(grams, 1, F.greatest(F.lit(1), F.col("n") + 2 - F.ceil(1 + (2 * least - 1) * F.col("n") - F.lit(1e-6))).cast("int"))
+    keyed = sized.filter(plain & (F.col("n") > 0)).select("*", F.explode(kept).alias("gram"))
+    met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & in_band).select(*pair).distinct()
+
+    odd = sized.filter(~plain)
+    either = odd.alias("a").join(sized.alias("b"), (F.col("a.id") != F.col("b.id")) & in_band)
+    first = F.col("a.id") < F.col("b.id")
+    swapped = [F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("id", "name")]
+    pairs = met.unionByName(either.select(*swapped).distinct())
+    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), similarity(F.col("a_name"), F.col("b_name")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def leaders(df: DataFrame, id_col: str, name_col: str, least: float) -> DataFrame:
-    """(id, leader): greedy leader clustering of distinct names in each block of three letters (E5); a block streams through one fold."""
+    """(id, leader): greedy leader clustering of distinct names in the order of their ids (E5).
 
-    def run(batches):
-        block, heads = None, []
-        for pdf in batches:
-            out = []
-            for b, i, name in zip(pdf["block"], pdf["id"], pdf["name"]):
-                if b != block:
-                    block, heads = b, []
-                best = next((h for h, n in heads if _similar(n, name) >= least), None)
-                if best is None:
-                    heads.append((i, name))
-                    best = i
-                out.append((i, best))
-            yield pd.DataFrame(out, columns=["id", "leader"])
-
-    names = df.groupBy(F.lower(name_col).alias("name")).agg(F.min(id_col).alias("id")).withColumn("block", F.substring("name", 1, 3))
-    return names.select("block", "id", "name").repartition("block").sortWithinPartitions("block", "id").mapInPandas(run, "id string, leader string")
-
-
-def _similar(a: str, b: str) -> float:
-    before = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
-        before = now
-    return 1 - before[-1] / max(len(a.encode()), len(b.encode()), 1)
+    A name joins the first leader that is similar, else it leads. Each round
+    settles the names that no open name comes before, and those similar to them.
+    """
+    names = written(_distinct_names(df, id_col, name_col), "names")
+    pairs = written(_near(names, least).select("a", "b"), "similar")
+    open_pairs, joined = pairs, None
+    while not open_pairs.isEmpty():
+        heads = open_pairs.select("a").distinct().join(open_pairs.select(F.col("b").alias("a")), "a", "left_anti")
+        out = written(open_pairs.join(heads, "a", "left_semi").select(F.col("b").alias("id")).distinct(), "joined")
+        joined = out if joined is None else joined.unionByName(out)
+        rest = open_pairs.join(out.withColumnRenamed("id", "b"), "b", "left_anti").join(out.withColumnRenamed("id", "a"), "a", "left_anti")
+        open_pairs = written(rest.select("a", "b"), "open")
+    if joined is None:
+        return names.select("id", F.col("id").alias("leader"))
+    first = pairs.join(joined.withColumnRenamed("id", "a"), "a", "left_anti").join(joined.withColumnRenamed("id", "b"), "b", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    return names.join(first, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def relation_group(relation: Column) -> Column:

@@ -1,8 +1,10 @@
 """Registered queries over whole tables: no subset of ids, languages or blocks is left out."""
 
+import random
 import re
 
 import duckdb
+import pytest
 
 from kronograph import plans
 from kronograph.operators import extract, search
@@ -53,3 +55,33 @@ def test_fuzzy_terms_of_all_tokens(spark, sf, tmp_path):
     for at in (sf, str(tmp_path)):
         tokens = [r["token"] for r in search.postings(spark.read.parquet(f"{at}/documents.parquet"), "doc_id", {"content": "text"}).select("token").distinct().collect()]
         assert ours(spark, at, "fuzzy_terms") == sorted((t, "thing") for t in tokens if distance(t[:5], "thing") <= 1)
+
+
+def alike(a, b):
+    return 1.0 if a == b else 1 - distance(a, b) / max(len(a.encode()), len(b.encode()), 1)
+
+
+def some_names():
+    rng = random.Random(3)
+    names = {"", "a", "b", "ab", "ba", "cold widget", "old widget", "bold widget", "aaaa", "aaab", "\u00e9", "\u00e9t\u00e9", "ete", "et\u00e9"}
+    names |= {"".join(rng.choice("abc\u00e9" if k % 9 == 0 else "abc") for _ in range(rng.randrange(1, 9))) for k in range(150)}
+    return [(f"{k:03d}", n) for k, n in enumerate(sorted(names, key=lambda n: rng.random()))]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.75, 0.9])
+def test_similar_pairs_and_leaders_lose_none(spark, least):
+    rows = some_names()
+    df = spark.createDataFrame(rows, "id string, name string")
+    want = [(i, j) for i, a in rows for j, b in rows if i < j and alike(a, b) >= least]
+    assert sorted((r["a"], r["b"]) for r in extract.similar_pairs(df, "id", "name", least).collect()) == sorted(want)
+    if least == 0.75:
+        lead = {}
+        for i, a in rows:
+            lead[i] = next((j for j, b in rows if j < i and lead[j] == j and alike(a, b) >= least), i)
+        assert dict(map(tuple, extract.leaders(df, "id", "name", least).collect())) == lead
+
+
+def test_dedup_entities_pairs_has_no_blocks(spark, sf):
+    names = duckdb.connect().execute(f"select min('P:'||p_partkey), lower(p_name) from '{sf}/part.parquet' group by 2").fetchall()
+    want = sorted((i, j) for i, a in names for j, b in names if i < j and alike(a, b) >= 0.5)
+    assert [r[:2] for r in ours(spark, sf, "dedup_entities_pairs")] == want
