@@ -292,6 +292,7 @@ def _(spark, d):
     from kronograph.functions.vectors import cosine
 
     e = table(spark, d, "embeddings")
-    p = F.broadcast(e.filter("vec_id < 10").select(F.col("label").alias("to"), F.col("embedding").alias("v")))  # ten prototypes
+    parts = e.filter("label is not null").select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    p = F.broadcast(parts.groupBy(F.col("label").alias("to")).agg(F.array_sort(F.collect_list(F.struct("k", "x")))["x"].alias("v")))  # one centroid a label
     s = e.crossJoin(p).groupBy("vec_id", "to").agg(F.round(F.max(cosine(F.col("embedding"), F.col("v"))), 6).alias("s"))
     return s.groupBy("vec_id").agg(F.min_by("to", F.struct(-F.col("s"), "to")).alias("label"))

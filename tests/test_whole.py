@@ -85,3 +85,13 @@ def test_dedup_entities_pairs_has_no_blocks(spark, sf):
     names = duckdb.connect().execute(f"select min('P:'||p_partkey), lower(p_name) from '{sf}/part.parquet' group by 2").fetchall()
     want = sorted((i, j) for i, a in names for j, b in names if i < j and alike(a, b) >= 0.5)
     assert [r[:2] for r in ours(spark, sf, "dedup_entities_pairs")] == want
+
+
+def test_prototypes_of_all_labels(spark, sf):
+    rows = duckdb.sql(f"select vec_id, label, embedding from '{sf}/embeddings.parquet'").fetchall()
+    centroid = {label: [sum(c) / len(c) for c in zip(*(v for _, x, v in rows if x == label))] for label in {x for _, x, _ in rows}}
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    assert ours(spark, sf, "prototype_classify") == sorted((k, min(centroid, key=lambda c: (-round(cosine(v, centroid[c]), 6), c))) for k, _, v in rows)
