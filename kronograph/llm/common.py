@@ -109,6 +109,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def clean_names(df: DataFrame, **kept: str) -> DataFrame:
     """Only the named columns, under the names the operator uses; all other columns, clashing or not, are left out."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in kept.items()))

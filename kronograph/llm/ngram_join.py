@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kronograph.llm.common import Written, clean_names, cut, empty, free_shuffles, ship, shuffle_partitions, table
+from kronograph.llm.common import Written, clean_names, cut, empty, free_shuffles, fresh, ship, shuffle_partitions, table
 from kronograph.operators.components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -316,10 +316,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hashed")
     best = _labelled(docs, id_col, text_col, words, percent, block).filter("n_shingles > 0").groupBy("component").agg(F.min(least).alias("row"))
     nil = F.lit(-(2**63))
-    best = Written(best.select(F.col("row.hashed").alias("_hashed"), F.coalesce("row.doc_id", nil).alias("_id")), "best").read()
-    marked = docs.withColumn("_hashed", F.xxhash64(F.col(f"`{text_col}`"))).withColumn("_id", F.coalesce(F.col(f"`{id_col}`").cast("bigint"), nil))
+    key, same, marked = fresh(docs, "hashed"), fresh(docs, "same"), docs
+    best = Written(best.select(F.col("row.hashed").alias(key), F.coalesce("row.doc_id", nil).alias(same)), "best").read()
+    marked = marked.withColumn(key, F.xxhash64(F.col(f"`{text_col}`"))).withColumn(same, F.coalesce(F.col(f"`{id_col}`").cast("bigint"), nil))
     wordless = F.coalesce(~F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = marked.filter(~wordless).join(best, ["_hashed", "_id"]).dropDuplicates(["_hashed", "_id"])
+    kept = marked.filter(~wordless).join(best, [key, same]).dropDuplicates([key, same])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.filter(wordless))
 
 

@@ -1,7 +1,9 @@
 """Suffix-array dedup (3): a distributed merge sort of sampled suffixes that knows its common prefixes.
 
 Every byte covered by a WINDOW-byte string that also starts anywhere else is
-removed. Suffixes are sampled by content: each window belongs to its anchor, the
+removed; with unit="words", every word covered by a string of PASSAGE words that
+does (a text is then a sequence of 8-byte word hashes, and white space doesn't
+count). What is said of bytes below holds for the symbols of either kind. Suffixes are sampled by content: each window belongs to its anchor, the
 place of its least GRAM-byte hash, so equal windows have equal anchors at equal
 offsets, and a text has one anchor for about 180 bytes. An anchor's context is
 all bytes of the windows that belong to it.
@@ -22,10 +24,16 @@ all bytes of the windows that belong to it.
 5. Covered ranges go back to all places of a context and are merged in each text.
 
 Anchors with more contexts than SPLIT are split by offset and by the bytes that
-all windows of a slice share, so a bucket stays small whatever share of the rows
-has a passage. Byte strings are compared by 64-bit hashes within a group of
+all windows of a slice share. Inside a passage these slices are equal in every
+context: a task sends each such slice once, with one witness, and reports the
+others itself, so a bucket gets a slice once for each task whatever share of the
+rows has the passage. Byte strings are compared by 64-bit hashes within a group of
 suffixes that share GRAM bytes.
 
+Whole copies and contexts with two places need no order: partial aggregations by
+hash find them. Contexts that differ but share an anchor, the borders of passages
+and edited copies, come through the merged order.
+
 Null and empty texts have 0 bytes and the digest of the empty string. Texts
 shorter than WINDOW keep everything. Repeated rows are removed in all copies, as
 each occurs elsewhere. Matches never cross rows. Empty tables stay empty; other
@@ -35,18 +43,22 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 
 import numpy as np
 import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kronograph.llm.common import Written, clean_names, cut, free_shuffles, ship, shuffle_partitions, table
+from kronograph.llm.common import Written, clean_names, cut, free_shuffles, fresh, ship, shuffle_partitions, table
 
+#: Symbols of a window and of the string that makes an anchor: bytes, or words.
 WINDOW, GRAM = 400, 48
-#: Contexts of a bucket on average; contexts of one anchor from which it is split; offsets of a slice; bytes of a run; windows handled at once.
-BUCKET, SPLIT, SLICE, RUN_BYTES, SEGMENT = 4000, 4000, 16, 16 << 20, 1 << 22
+PASSAGE, WORD_GRAM = 50, 6
+#: Contexts of a bucket on average; contexts of one anchor from which it is split; slices of a context then; bytes of a run; symbols handled at once.
+BUCKET, SPLIT, SLICES, RUN_BYTES, SEGMENT = 4000, 4000, 22, 16 << 20, 1 << 22
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -75,15 +87,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _sums(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(prefix sums, inverse powers): the hash of data[i:j] is (sums[j] - sums[i]) * inverse[i]."""
-    x = np.frombuffer(data, np.uint8).astype(_U)
-    x += _U(1)
+def _sums(data: bytes, size: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix sums, inverse powers) of symbols of that many bytes: the hash of symbols i to j is (sums[j] - sums[i]) * inverse[i]."""
+    x = np.frombuffer(data, np.uint8).astype(_U) + _U(1) if size == 1 else np.frombuffer(data, _U).copy()
     up, down = _powers.get(len(x) + 1)
     x *= up[:-1]
     return np.concatenate([np.zeros(1, _U), np.cumsum(x)]), down
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, hash) of each word."""
+    parts, at = [], 0
+    while at < len(data):
+        m = _SPACE.search(data, at + SEGMENT)
+        some = data[at : m.start() if m else len(data)]
+        inside = np.concatenate([[False], ~_SPACES[np.frombuffer(some, np.uint8)], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, end = edges[::2], edges[1::2]
+        sums, down = _sums(some)
+        parts.append((first + at, end + at, _mix((sums[end] - sums[first]) * down[first] + (end - first).astype(_U))))
+        at += len(some) or 1
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))
+
+
+def symbols(text: str, unit: str) -> tuple[bytes, int]:
+    """(symbols of a text as bytes, bytes of a symbol)."""
+    data = text.encode()
+    return (data, 1) if unit == "bytes" else (words_of(data)[2].tobytes(), 8)
+
+
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     """Least of each w values in a row."""
     n = len(x)
@@ -95,13 +132,13 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(data: bytes, window: int = WINDOW, gram: int = GRAM):
+def anchors(data: bytes, window: int = WINDOW, gram: int = GRAM, size: int = 1):
     """(anchor, first window, last window + 1, anchor hash, context hash) arrays; windows are named by their start."""
     parts = []
-    for at in range(0, len(data) - window + 1, SEGMENT):
-        some = data[at : at + SEGMENT + window - 1]
-        sums, down = _sums(some)
-        grams = _mix((sums[gram:] - sums[:-gram]) * down[: len(some) - gram + 1])
+    for at in range(0, len(data) // size - window + 1, SEGMENT):
+        some = data[at * size : (at + SEGMENT + window - 1) * size]
+        sums, down = _sums(some, size)
+        grams = _mix((sums[gram:] - sums[:-gram]) * down[: len(sums) - gram])
         places = (grams & ~_PLACE) | np.arange(len(grams), dtype=_U)
         best = (_sliding_least(places, window - gram + 1) & _PLACE).astype(np.int64)
         border = np.flatnonzero(np.diff(best)) + 1
@@ -217,22 +254,22 @@ def merged(runs: list[bytes]):
             node //= 2
 
 
-def matches(entries, window: int = WINDOW, gram: int = GRAM):
+def matches(entries, window: int = WINDOW, gram: int = GRAM, size: int = 1):
     """(anchor hash, context hash, from, to) of ranges, relative to the anchor, of windows that occur in another context.
 
     entries: (common prefix with the one before, suffix), in order.
     """
     group: list[tuple[int, Suffix]] = []
     for k, s in entries:
-        if group and k < gram:
-            yield from _of_group(group, window)
+        if group and k < gram * size:
+            yield from _of_group(group, window, size)
             group = []
-        group.append((k, s))
+        group.append((k // size, s))
     if group:
-        yield from _of_group(group, window)
+        yield from _of_group(group, window, size)
 
 
-def _of_group(group: list[tuple[int, Suffix]], window: int):
+def _of_group(group: list[tuple[int, Suffix]], window: int, size: int = 1):
     if len(group) < 2:
         return
     reach = [max(k if i else 0, group[i + 1][0] if i + 1 < len(group) else 0) for i, (k, _) in enumerate(group)]
@@ -243,9 +280,10 @@ def _of_group(group: list[tuple[int, Suffix]], window: int):
         if name in seen or near > s.far:
             continue
         seen.add(name)
-        sums, down = _sums(s.left + s.right)
-        start = np.arange(s.far - near + 1)  # the first has the largest offset
-        o = s.far - start
+        sums, down = _sums(s.left + s.right, size)
+        first = len(s.left) // size - s.far
+        start = np.arange(first, first + s.far - near + 1)  # the first has the largest offset
+        o = s.far - (start - first)
         keys.append(_mix((sums[start + window] - sums[start]) * down[start] + o.astype(_U) * _U(0xD6E8FEB86659FD93)))
         owners.append(np.full(len(start), len(kept)))
         offsets.append(o)
@@ -262,25 +300,29 @@ def _of_group(group: list[tuple[int, Suffix]], window: int):
             yield s.anchor, s.context, -int(offset[part[0]]), window - int(offset[part[-1]])
 
 
-def slices(s: Suffix, window: int, width: int = SLICE):
-    """A context cut by offsets, each with a key made of the bytes that all its windows share."""
+def slices(s: Suffix, window: int, width: int, size: int = 1):
+    """A context cut by offsets, each with a key made of the symbols that all its windows share."""
     whole, a = s.left + s.right, len(s.left)
     for j in range(s.near // width, s.far // width + 1):
         near, far = max(s.near, j * width), min(s.far, (j + 1) * width - 1)
-        core = whole[a - j * width if a >= j * width else 0 : a - (j + 1) * width + 1 + window]
-        yield xxhash.xxh64_intdigest(core, j) >> 1, Suffix(s.right[: window - near], whole[a - far : a], near, far, s.anchor, s.context, s.whole)
+        core = whole[max(0, a - j * width * size) : a + (window - (j + 1) * width + 1) * size]
+        yield xxhash.xxh64_intdigest(core, j) >> 1, Suffix(s.right[: (window - near) * size], whole[a - far * size : a], near, far, s.anchor, s.context, s.whole)
 
 
 # -- the operator ----------------------------------------------------------------
 
 
-def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(hashed, whole, ranges): for each text with repeated bytes, by its xxhash64, whether all of it or which byte ranges are repeated."""
+def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unit: str = "bytes") -> DataFrame:
+    """(hashed, whole, ranges): for each text with repeated symbols, by its xxhash64, whether all of it or which ranges of bytes or words are repeated."""
+    gram = GRAM if unit == "bytes" else WORD_GRAM
+    if not gram < window < 8000:
+        raise ValueError(f"a window has over {gram} and under 8000 {unit}")
     docs = docs.select(F.col(f"`{text_col}`").alias("text")).filter("text is not null and text <> ''").withColumn("hashed", F.xxhash64("text"))
     spark = docs.sparkSession
     ship(spark)
     partitions = shuffle_partitions(spark)
-    copies = docs.select("hashed", F.octet_length("text").alias("n")).filter(F.col("n") >= window).groupBy("hashed").agg(F.count("*").alias("c")).filter("c > 1").select("hashed")
+    least = window if unit == "bytes" else 2 * window - 1  # bytes that a text with a window has
+    copies = docs.filter(F.octet_length("text") >= least).groupBy("hashed").agg(F.count("*").alias("c")).filter("c > 1").select("hashed")
     schema = "hashed bigint, a int, lo int, hi int, anchor bigint, context bigint"
 
     def places(batches):
@@ -292,9 +334,9 @@ def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
                     if key in seen:
                         continue  # copies are found by their hashes
                     seen.add(key)
-                    data = text.encode()
-                    if len(data) >= window:
-                        found = anchors(data, window)
+                    data, size = symbols(text, unit)
+                    if len(data) >= window * size:
+                        found = anchors(data, window, gram, size)
                         out.append([np.full(len(found[0]), key), *found])
                 if len(seen) > 500_000:
                     seen.clear()
@@ -321,19 +363,42 @@ def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
     wanted = wanted.groupBy("hashed").agg(F.collect_list(F.struct("a", "lo", "hi", "anchor", "context", "whole", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
     texts = docs.join(wanted, "hashed").select("hashed", "text", "wanted")
 
+    width = max(1, (window - gram) // SLICES)
+    names = "anchor", "context", "start", "stop"
+    match_schema = "anchor bigint, context bigint, start int, stop int"
+    run_schema = "bucket bigint, run binary, told binary"
+
     def runs(batches):
         by: dict[int, list[Suffix]] = {}
-        size, seen = 0, set()
+        known: dict[tuple, Suffix] = {}  # a slice that this task has, and its witness
+        told: list[tuple] = []
+        held, seen = 0, set()
 
         def put_out():
-            names = sorted(by)
+            buckets = sorted(by)
             blobs = []
-            for b in names:
+            for b in buckets:
                 by[b].sort(key=lambda s: s.right)
                 blobs.append(front_coded(by[b]))
             by.clear()
-            for k in range(0, len(names), 64):
-                yield table("bucket bigint, run binary", {"bucket": names[k : k + 64], "run": blobs[k : k + 64]})
+            known.clear()
+            for k in range(0, len(buckets), 64):
+                yield table(run_schema, {"bucket": buckets[k : k + 64], "run": blobs[k : k + 64], "told": [None] * len(blobs[k : k + 64])})
+            if told:
+                yield table(run_schema, {"bucket": [told[0][1] & (2**62 - 1)], "run": [None], "told": [np.array(told, np.int64).tobytes()]})
+            told.clear()
+
+        def alone(name: int, one: Suffix) -> bool:
+            """Whether the slice has no witness in this task yet; else both are told here."""
+            key = xxhash.xxh3_128_intdigest(one.left + one.right), name, one.near, one.far
+            first = known.setdefault(key, one)
+            if first is one:
+                return True
+            for s in (first, one):
+                if not s.whole:
+                    s.whole = 1
+                    told.append((s.anchor, s.context, -s.far, window - s.near))
+            return False
 
         for batch in batches:
             for part in cut(batch, ["text"], 4 << 20):
@@ -341,35 +406,39 @@ def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
                     if key in seen:
                         continue  # another copy of the text
                     seen.add(key)
-                    data = text.encode()
+                    data, size = symbols(text, unit)
                     for p in places:
                         a, lo, hi = p["a"], p["lo"], p["hi"]
-                        s = Suffix(data[a : hi - 1 + window], data[lo:a], a - hi + 1, a - lo, p["anchor"], p["context"], int(p["whole"]))
-                        for name, one in slices(s, window) if p["large"] else [(s.anchor, s)]:
-                            by.setdefault(name % buckets, []).append(one)
-                            size += len(one.right) + len(one.left) + 200
-                    if size > RUN_BYTES:
+                        s = Suffix(data[a * size : (hi - 1 + window) * size], data[lo * size : a * size], a - hi + 1, a - lo, p["anchor"], p["context"], int(p["whole"]))
+                        for name, one in slices(s, window, width, size) if p["large"] else [(s.anchor, s)]:
+                            if not p["large"] or alone(name, one):
+                                by.setdefault(name % buckets, []).append(one)
+                                held += len(one.right) + len(one.left) + 200
+                    if held > RUN_BYTES or len(told) > 200_000:
                         yield from put_out()
-                        size = 0
+                        held = 0
         yield from put_out()
 
     def found(batches):
         at, held = None, []
         for batch in batches:
-            for bucket, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for bucket, run, told in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if told is not None:
+                    rows = np.frombuffer(told, np.int64).reshape(-1, 4)
+                    yield table(match_schema, {c: np.ascontiguousarray(rows[:, k]) for k, c in enumerate(names)})
+                    continue
                 if bucket != at:
-                    yield from told(held)
+                    yield from merge(held)
                     at, held = bucket, []
                 held.append(run)
-        yield from told(held)
+        yield from merge(held)
 
-    def told(held):
-        rows = list(matches(merged(held), window)) if held else []
+    def merge(held):
+        rows = list(matches(merged(held), window, gram, 1 if unit == "bytes" else 8)) if held else []
         if rows:
-            yield table(match_schema, dict(zip(("anchor", "context", "start", "stop"), zip(*rows))))
+            yield table(match_schema, dict(zip(names, zip(*rows))))
 
-    match_schema = "anchor bigint, context bigint, start int, stop int"
-    dealt = texts.mapInArrow(runs, "bucket bigint, run binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    dealt = texts.mapInArrow(runs, run_schema).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     partial = Written(dealt.mapInArrow(found, match_schema), "matches")
     free_shuffles(spark)
     whole = each.read().filter("whole").select("anchor", "context")
@@ -395,55 +464,73 @@ def spans(ranges) -> list[list[int]]:
     return out
 
 
-def _removed(text: str, whole: bool, ranges) -> tuple[bytes, list[list[int]], int]:
-    """(bytes left, spans, bytes before)."""
-    data = (text or "").encode()
-    cuts = [[0, len(data)]] if whole else spans(ranges or [])
-    if not cuts:
-        return data, cuts, len(data)
-    edges = [0, *(x for c in cuts for x in c), len(data)]
-    return b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)), cuts, len(data)
+def bounds(data: bytes, whole: bool, ranges, passage: int = 0) -> list[list[int]]:
+    """First byte and end of each part of a text that goes.
+
+    passage: words of a window, 0 where ranges are bytes; a passage goes up to
+    the next word, and a copy of a text with fewer words stays.
+    """
+    if not passage:
+        return [[0, len(data)]] if whole else spans(ranges or [])
+    first = words_of(data)[0].tolist()
+    cuts = [[0, len(first)]] if whole and len(first) >= passage else spans(ranges or [])
+    first.append(len(data))
+    return [[first[a], first[b]] for a, b in cuts]
 
 
-def _joined(docs: DataFrame, text_col: str, window: int) -> DataFrame:
-    marks = covered(docs, text_col, window)
-    return docs.withColumn("_hashed", F.xxhash64(F.col(f"`{text_col}`"))).join(marks.select(F.col("hashed").alias("_hashed"), F.col("whole").alias("_whole"), F.col("ranges").alias("_ranges")), "_hashed", "left")
+def without(data: bytes, cuts: list[list[int]]) -> bytes:
+    edges = [0, *(x for c in cuts for x in c), len(data)]
+    return b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    joined = _joined(clean_names(docs, doc_id=id_col, text=text_col), "text", window).select("doc_id", "text", "_whole", "_ranges")
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, text) of every row.
+
+    The first five are of windows of bytes. n_passage_words counts the words that
+    strings of passage words cover which also start anywhere else, and text is
+    what the row's text is without them.
+    """
+    docs = clean_names(docs, doc_id=id_col, text=text_col)
+    marks = covered(docs, "text", window).select("hashed", F.struct("whole", "ranges").alias("by_bytes"))
+    marks = marks.join(covered(docs, "text", passage, "words").select("hashed", F.struct("whole", "ranges").alias("by_words")), "hashed", "full")
+    joined = docs.withColumn("hashed", F.xxhash64("text")).join(marks, "hashed", "left").select("doc_id", "text", "by_bytes", "by_words")
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint, text string"
+
+    def row(text, by_bytes, by_words):
+        data = (text or "").encode()
+        cuts = bounds(data, **by_bytes) if by_bytes else []
+        kept = without(data, cuts) if cuts else data
+        passages = bounds(data, **by_words, passage=passage) if by_words else []
+        words = sum(len(data[a:b].split()) for a, b in passages)
+        return len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), words, without(data, passages).decode()
 
     def run(batches):
         for batch in batches:
             for part in cut(batch, ["text"]):
-                ids, texts, whole, ranges = (part.column(k).to_pylist() for k in range(4))
-                rows = []
-                for text, w, r in zip(texts, whole, ranges):
-                    kept, cuts, n = _removed(text, bool(w), r)
-                    rows.append((n, n - len(kept), len(cuts), hashlib.sha256(kept).hexdigest()))
-                yield table(schema, {"doc_id": ids} | dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), zip(*rows))))
+                ids, *columns = (part.column(k).to_pylist() for k in range(4))
+                rows = [row(*values) for values in zip(*columns)]
+                yield table(schema, {"doc_id": ids} | dict(zip([f.split()[0] for f in schema.split(", ")[1:]], zip(*rows))))
 
     return joined.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unit: str = "bytes") -> DataFrame:
     """docs with repeated passages cut out of the text; a character that is cut in two goes as a whole. All columns are kept."""
-    joined = _joined(docs, text_col, window)
-    kept = [c for c in docs.columns]
-    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema
+    marks = covered(docs, text_col, window, unit)
+    kept = list(docs.columns)
+    key, mark = fresh(docs, "hashed"), fresh(docs, "marks")
+    marks = marks.select(F.col("hashed").alias(key), F.struct("whole", "ranges").alias(mark))
+    joined = docs.withColumn(key, F.xxhash64(F.col(f"`{text_col}`"))).join(marks, key, "left").select(*(F.col(f"`{c}`") for c in kept), mark)
     at = kept.index(text_col)
 
+    def cleaned(text, marked):
+        data = text.encode()
+        return without(data, bounds(data, **marked, passage=0 if unit == "bytes" else window)).decode("utf-8", "ignore")
+
     def run(batches):
         for batch in batches:
-            for part in cut(batch, ["text"]):
-                n = len(kept)
-                whole, ranges = part.column(n).to_pylist(), part.column(n + 1).to_pylist()
-                new = [t if not w and not r else _removed(t, bool(w), r)[0].decode("utf-8", "ignore") for t, w, r in zip(part.column(at).to_pylist(), whole, ranges)]
-                import pyarrow as pa
-
-                cols = [part.column(k) if k != at else pa.array(new, pa.string()) for k in range(n)]
-                yield pa.RecordBatch.from_arrays(cols, names=kept)
+            for part in cut(batch, kept):
+                new = [cleaned(t, m) if m else t for t, m in zip(part.column(at).to_pylist(), part.column(len(kept)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else part.column(k) for k in range(len(kept))], names=kept)
 
-    return joined.select(*(F.col(f"`{c}`") for c in kept), "_whole", "_ranges").mapInArrow(run, schema)
+    return joined.mapInArrow(run, docs.schema)

@@ -147,15 +147,66 @@ def removed(texts, window):
         yield str(i), len(b), int(mask.sum()), runs, sha(bytes(np.frombuffer(b, np.uint8)[~mask]))
 
 
+def without_passages(texts, passage):
+    """(words in passages that occur elsewhere too, text without them) of each text."""
+    found = [list(re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for _, t in texts]
+    seen = {}
+    for words in found:
+        for k in range(len(words) - passage + 1):
+            key = tuple(m[0] for m in words[k : k + passage])
+            seen[key] = seen.get(key, 0) + 1
+    for (_, t), words in zip(texts, found):
+        mask = [False] * len(words)
+        for k in range(len(words) - passage + 1):
+            if seen[tuple(m[0] for m in words[k : k + passage])] > 1:
+                mask[k : k + passage] = [True] * passage
+        data = (t or "").encode()
+        ends = [m.start() for m in words[1:]] + [len(data)]
+        yield sum(mask), (data[: words[0].start()] if words else data) + b"".join(data[m.start() : end] for m, end, hit in zip(words, ends, mask) if not hit)
+
+
 @pytest.mark.parametrize("split", [4000, 0])
 def test_suffix_dedup(docs, none, texts, split, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SPLIT", split)
     monkeypatch.setattr(suffix_dedup, "BUCKET", 8)
-    assert sorted((str(r[0]), *r[1:]) for r in suffix_dedup.report(docs).collect()) == sorted(removed(texts, 400))
+    want = [(*a, n, left.decode()) for a, (n, left) in zip(removed(texts, 400), without_passages(texts, 50))]
+    assert sum(n > 0 for *_, n, _ in want) > 5
+    assert sorted((str(r[0]), *r[1:]) for r in suffix_dedup.report(docs).collect()) == sorted(want)
     assert suffix_dedup.report(none).count() == 0
     if split:
         cut = suffix_dedup.remove_repeats(docs)
         assert cut.columns == docs.columns and cut.count() == len(texts)
+        cut = suffix_dedup.remove_repeats(docs, window=50, unit="words")
+        assert sorted(r["text"] or "" for r in cut.collect()) == sorted(w[-1] for w in want)
+
+
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_suffix_dedup_of_a_passage_in_many_texts(spark, unit, monkeypatch):
+    """Texts that share one passage, in other surroundings each: split anchors and slices that a task tells itself."""
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 4)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 8)
+    rnd = random.Random(11)
+    passage = words(rnd, 100)
+    texts = [(k, words(rnd, rnd.randint(0, 60)) + " " + passage + " " + words(rnd, rnd.randint(0, 60))) for k in range(60)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
+    got = suffix_dedup.remove_repeats(df, window=400 if unit == "bytes" else 50, unit=unit).collect()
+    if unit == "words":
+        want = [left.decode() for _, left in without_passages(texts, 50)]
+        assert sorted(r["text"] for r in got) == sorted(want) and not any(passage in w for w in want)
+    else:
+        assert sorted((str(r["doc_id"]), sha(r["text"])) for r in got) == sorted((i, h) for i, *_, h in removed(texts, 400))
+
+
+CLASHES = "doc_id bigint, text string, _hashed int, hashed int, _id int, _whole int, _ranges int, marks int, text2 string, same int"
+
+
+def test_clashing_columns_are_kept(spark, texts):
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, 6, "seven", 8) for i, t in texts], CLASHES)
+    labels = spark.createDataFrame([(k, int(k != 3), 0, 9) for k in range(12)], "doc_id bigint, quality int, toxic int, text int")
+    for out in (ngram_join.keep_one(df), suffix_dedup.remove_repeats(df), suffix_dedup.remove_repeats(df, window=50, unit="words"), quality.keep_good(df, labels)):
+        rows = out.collect()
+        assert out.schema == df.schema and rows
+        assert {tuple(r)[2:] for r in rows} == {(1, 2, 3, 4, 5, 6, "seven", 8)}
 
 
 def test_loser_tree_merges_front_coded_runs():
