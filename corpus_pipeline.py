@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur elsewhere too; n_chars follows the text."""
-    return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    """All documents, without the passages of 50 words and more that occur elsewhere too; n_chars follows the text."""
+    return suffix_dedup.remove_repeats(docs, window=suffix_dedup.PASSAGE, unit="words").withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
