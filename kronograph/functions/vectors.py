@@ -53,3 +53,32 @@ def hashing_embedding(dimension: int = 64):
         return texts.map(one)
 
     return embed
+
+
+def token_projection(dimension: int = 64):
+    """Arrow function token ids -> unit vector (F23): each id gives each place a fixed number in -1..1; an embedding is their mean.
+
+    The numbers come from SplitMix64 of id x 2^32, the place and a constant, all combined by XOR.
+    """
+    u = np.uint64
+
+    @F.pandas_udf("array<double>")
+    def embed(ids: pd.Series) -> pd.Series:
+        places = np.arange(dimension, dtype=u) ^ u(0xA5A55A5A12345678)
+
+        def one(tokens):
+            if tokens is None or not len(tokens):
+                return [0.0] * dimension
+            x = (np.asarray(tokens, u)[:, None] << u(32)) ^ places
+            with np.errstate(over="ignore"):
+                x = x + u(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+            low = (x ^ (x >> u(31))) & u(0xFFFFFFFF)
+            v = (2.0 * (low.astype(np.float64) / 0xFFFFFFFF) - 1.0).mean(0)
+            n = np.linalg.norm(v)
+            return (v / n if n else v).tolist()
+
+        return ids.map(one)
+
+    return embed

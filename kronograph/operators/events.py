@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +27,16 @@ def trailing(df: DataFrame, key: str, seconds: int) -> DataFrame:
 
 
 def ema(df: DataFrame, key: str, keep: float, *order: str) -> DataFrame:
-    """Exponential moving average of each key's values in order, from the first value on."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, "value")))
-    values = F.transform(rows, lambda r: r["value"])
-    folded = F.aggregate(F.slice(values, 2, F.size(values)), F.element_at(values, 1), lambda a, x: a * keep + x * (1 - keep))
-    return df.groupBy(key).agg(F.count("*").alias("n"), folded.alias("ema"))
+    """Exponential moving average of each key's values in order, from the first value on.
+
+    The value k places from the end counts keep^k, the first one in full: ranks
+    by a sort that spills, then a sum.
+    """
+    by = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    first = Window.partitionBy(key).orderBy(*order)
+    ranked = df.select(key, "value", (F.row_number().over(by) - 1).alias("k"), (F.row_number().over(first) == 1).alias("first"))
+    weight = F.pow(F.lit(keep), F.col("k")) * F.when(F.col("first"), 1.0).otherwise(1 - keep)
+    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("value") * weight).alias("ema"))
 
 
 def sessions(df: DataFrame, key: str, gap: str) -> DataFrame:
@@ -50,56 +57,115 @@ def hourly_cap(df: DataFrame, key: str, cap: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= cap).drop("_n")
 
 
-def cooldown(df: DataFrame, key: str, seconds: float) -> DataFrame:
-    """Rows accepted by a cooldown since the last accepted row of the key.
+def folded(df: DataFrame, key: str, columns: list[str], start: Callable[[], object], step: Callable, out: str) -> DataFrame:
+    """Rows that a fold over each key's rows gives, in the order of ts and event_id.
 
-    What is accepted depends on what was before, so each key streams through a
-    fold; keys are dealt to tasks and streamed, not collected.
+    What a row gives depends on the rows before it, so each key streams through
+    one task in order; only the state of the key at hand is held. step(state,
+    key, *columns) gives (state, row or None); out is the schema of the rows.
     """
-    schema = df.schema
+    names = [f.split()[0] for f in out.split(", ")]
 
     def run(batches):
-        last: dict = {}
+        at, state = object(), None
         for pdf in batches:
-            take = []
-            for k, t in zip(pdf[key], pdf["ts"]):
-                ok = k not in last or (t - last[k]).total_seconds() >= seconds
-                if ok:
-                    last[k] = t
-                take.append(ok)
-            yield pdf[pd.Series(take, index=pdf.index, dtype=bool)]
+            rows = []
+            for k, *values in zip(pdf[key], *(pdf[c] for c in columns)):
+                if k != at:
+                    at, state = k, start()
+                state, row = step(state, k, *values)
+                if row is not None:
+                    rows.append(row)
+            yield pd.DataFrame(rows, columns=names)
+
+    some = df.select(*dict.fromkeys([key, "ts", "event_id", *columns])).filter(F.col(key).isNotNull())
+    return some.repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, out)
+
+
+def cooldown(df: DataFrame, key: str, seconds: float) -> DataFrame:
+    """(key, event_id) of rows accepted by a cooldown since the last accepted row of the key."""
+
+    def step(last, k, event, t):
+        ok = last is None or (t - last).total_seconds() >= seconds
+        return (t, (k, event)) if ok else (last, None)
 
-    return df.repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, schema)
+    return folded(df, key, ["event_id", "ts"], lambda: None, step, f"{key} bigint, event_id bigint")
+
+
+def notify_limit(df: DataFrame, key: str, most: int = 10, seconds: float = 60.0) -> DataFrame:
+    """(key, event_id) of rows that may be sent: fewer than most accepted ones in the trailing time (Z5). Holds most times."""
+
+    def step(sent, k, event, t):
+        sent = [s for s in sent if (t - s).total_seconds() <= seconds]
+        return (sent + [t], (k, event)) if len(sent) < most else (sent, None)
+
+    return folded(df, key, ["event_id", "ts"], list, step, f"{key} bigint, event_id bigint")
 
 
 def circuit_breaker(df: DataFrame, key: str, failures: int = 5, pause: float = 60.0, successes: int = 2) -> DataFrame:
     """(key, event_id, state) after each event: closed, open or half_open."""
-    schema = f"{key} bigint, event_id bigint, state string"
 
-    def run(batches):
-        held: dict = {}
-        for pdf in batches:
-            out = []
-            for k, e, t, bad in zip(pdf[key], pdf["event_id"], pdf["ts"], pdf["event_type"] == "error"):
-                state, bads, goods, since = held.get(k, ("closed", 0, 0, None))
-                if state == "open" and (t - since).total_seconds() >= pause:
-                    state, goods = "half_open", 0
-                if state == "closed":
-                    bads = bads + 1 if bad else 0
-                    if bads >= failures:
-                        state, since = "open", t
-                elif state == "half_open":
-                    if bad:
-                        state, since = "open", t
-                    else:
-                        goods += 1
-                        if goods >= successes:
-                            state, bads = "closed", 0
-                held[k] = state, bads, goods, since
-                out.append((k, e, state))
-            yield pd.DataFrame(out, columns=[key, "event_id", "state"])
-
-    return df.select(key, "event_id", "ts", "event_type").repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, schema)
+    def step(held, k, event, t, kind):
+        state, bads, goods, since = held
+        bad = kind == "error"
+        if state == "open" and (t - since).total_seconds() >= pause:
+            state, goods = "half_open", 0
+        if state == "closed":
+            bads = bads + 1 if bad else 0
+            if bads >= failures:
+                state, since = "open", t
+        elif state == "half_open":
+            if bad:
+                state, since = "open", t
+            else:
+                goods += 1
+                if goods >= successes:
+                    state, bads = "closed", 0
+        return (state, bads, goods, since), (k, event, state)
+
+    return folded(df, key, ["event_id", "ts", "event_type"], lambda: ("closed", 0, 0, None), step, f"{key} bigint, event_id bigint, state string")
+
+
+def failover(df: DataFrame, key: str, failures: int = 3, recovery: float = 30.0) -> DataFrame:
+    """(key, event_id, up) after each event: a node is down after so many errors in a row, and tried again after the recovery time."""
+
+    def step(held, k, event, t, kind):
+        bads, since = held
+        if since is not None and (t - since).total_seconds() >= recovery:
+            bads, since = 0, None
+        if since is None:
+            bads = bads + 1 if kind == "error" else 0
+            if bads >= failures:
+                since = t
+        return (bads, since), (k, event, since is None)
+
+    return folded(df, key, ["event_id", "ts", "event_type"], lambda: (0, None), step, f"{key} bigint, event_id bigint, up boolean")
+
+
+def work_sessions(df: DataFrame, key: str, activity: str, gap: float = 600.0) -> DataFrame:
+    """(key, activity, started, ended, actions, complete) by the full rules of Z1, one row for each session that has ended.
+
+    A pause over the gap ends a session, and the row after it starts the next.
+    Confidence starts at 0.5 and moves by 0.1 as rows agree with the activity or
+    not; below 0.3 the activity becomes that of the row. Over 10 actions at a
+    confidence over 0.7 complete a session. A session still open gives no row.
+    """
+
+    def step(held, k, event, t, kind):
+        if held is not None and (t - held[3]).total_seconds() > gap:
+            done, held = held, (kind, 5, t, t, 1)
+            return held, (k, done[0], done[2], done[3], done[4], False)
+        if held is None:
+            return (kind, 5, t, t, 1), None
+        at, tenths, started, _, actions = held
+        tenths = min(10, tenths + 1) if kind == at else max(0, tenths - 1)
+        if tenths < 3:
+            at, tenths = kind, 5
+        if actions + 1 > 10 and tenths > 7:
+            return None, (k, at, started, t, actions + 1, True)
+        return (at, tenths, started, t, actions + 1), None
+
+    return folded(df, key, ["event_id", "ts", activity], lambda: None, step, f"{key} bigint, activity string, started timestamp_ntz, ended timestamp_ntz, actions bigint, complete boolean")
 
 
 def histogram(value: Column, bounds: list[float]) -> Column:

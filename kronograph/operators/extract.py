@@ -22,6 +22,19 @@ NER = {
     "Organization": r"\b([A-Z][A-Za-z]* (?:Inc|Corp|LLC|Ltd|Company|University))\b",
     "Location": r"\b((?:San|New|Los) [A-Z][a-z]+)\b",
 }
+#: Surnames, endings of organisations and places of the rules for Han text.
+SURNAMES = "张王李赵刘陈杨黄周吴徐孙马朱胡郭何罗高林郑梁谢唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃河汤滕殷毕詹关鲁"
+HAN_ORGANISATIONS = ("公司", "集团", "机构", "组织", "协会", "委员会", "部门", "中心", "研究院", "大学", "学院", "医院", "银行", "酒店", "商场", "超市", "餐厅", "工厂", "企业", "政府", "局", "厅", "处", "科", "股份", "有限", "责任", "国际")
+HAN_PLACES = (
+    "北京", "上海", "广州", "深圳", "天津", "重庆", "成都", "杭州", "武汉", "西安", "苏州", "南京", "郑州", "长沙", "东莞", "沈阳", "青岛", "合肥", "佛山", "山东", "江苏", "广东", "浙江", "河南", "河北", "湖南", "湖北",
+    "福建", "安徽", "辽宁", "陕西", "内蒙古", "新疆", "广西", "宁夏", "西藏", "香港", "澳门", "台湾", "中国", "美国", "日本", "韩国", "英国", "法国", "德国", "俄罗斯", "加拿大", "澳大利亚",
+)
+HAN = {"Person": f"([{SURNAMES}][\u4e00-\u9fa5])", "Organization": f"([\u4e00-\u9fa5]+(?:{'|'.join(HAN_ORGANISATIONS)}))", "Location": f"({'|'.join(HAN_PLACES)})"}
+RULES = [*NER.items(), *HAN.items()]
+#: What may be an entity before it is classified.
+CANDIDATES = (
+    r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\b", "([\u4e00-\u9fff]{2,4})", r'"([^"]+)"', "'([^']+)'", r"\b((?:Mr|Mrs|Ms|Dr|Prof)\.?\s+[A-Z][a-z]+)",
+)
 
 
 def capitalised(text: Column) -> Column:
@@ -53,7 +66,7 @@ def ner(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def found(label, rule):
         return F.transform(F.regexp_extract_all(text_col, F.lit("(?U)" + rule), 1), lambda m: F.struct(m.alias("text"), F.lit(label).alias("label")))
 
-    rows = F.flatten(F.array(*(found(label, rule) for label, rule in NER.items())))
+    rows = F.flatten(F.array(*(found(label, rule) for label, rule in RULES)))
     return df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(rows)).alias("e")).select("id", "e.text", "e.label", F.lit(0.8).alias("score"))
 
 
@@ -61,7 +74,7 @@ def spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, label, score, start, end) with character spans, overlaps merged greedily (E1, E3): an Arrow map, as Catalyst has no match offsets."""
     import re
 
-    rules = [(label, re.compile(rule)) for label, rule in NER.items()]
+    rules = [(label, re.compile(rule)) for label, rule in RULES]
 
     def run(batches):
         for pdf in batches:
@@ -78,6 +91,30 @@ def spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, text_col).mapInPandas(run, "id bigint, text string, label string, score double, start bigint, end bigint")
 
 
+def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): distinct phrases that may be entities: capitalised words, Han words, quoted text, titles."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(text_col, F.lit("(?U)" + rule), 1) for rule in CANDIDATES)))
+    return df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(found)).alias("text"))
+
+
+def classified(phrases: DataFrame, prototypes: DataFrame, least: float = 0.6) -> DataFrame:
+    """(id, text, label, score) of phrases by the nearest prototype, from a cosine of least on.
+
+    phrases: id, text, embedding; prototypes: label, embedding, a row or a few for each label.
+    """
+    from kronograph.functions.vectors import cosine
+
+    p = F.broadcast(prototypes.select("label", F.col("embedding").alias("_to")))  # a constant set of labels
+    scored = phrases.crossJoin(p).withColumn("score", cosine(F.col("embedding"), F.col("_to")))
+    best = scored.groupBy("id", "text").agg(F.min_by(F.struct("label", "score"), F.struct(-F.col("score"), "label")).alias("b"))
+    return best.select("id", "text", "b.label", "b.score").filter(F.col("score") >= least)
+
+
+def entity_similarity(name: Column, same_type: Column, semantic: Column | None = None) -> Column:
+    """0.5 name + 0.2 same type + 0.3 semantic similarity; the name stands in where there is none (E5)."""
+    return 0.5 * name + 0.2 * same_type.cast("double") + 0.3 * (F.coalesce(semantic, name) if semantic is not None else name)
+
+
 def merge_relations(df: DataFrame) -> DataFrame:
     """Relations with one normalised key become one: first names, highest confidence, distinct descriptions in order.
 
@@ -138,6 +175,27 @@ def _near(names: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), similarity(F.col("a_name"), F.col("b_name")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def merged_entities(df: DataFrame, id_col: str, name_col: str, type_col: str, confidence_col: str, least: float = 0.75) -> DataFrame:
+    """(id, leader, entity_type, confidence): entities that the full score of E5 makes one, by greedy leaders.
+
+    Names of one type need a similarity of (least - 0.2) / 0.8, others of least /
+    0.8, so only such pairs are scored. A cluster has its leader's type and the
+    mean confidence of its entities, 0.5 where unknown, 1 at most.
+    """
+    rows = written(df.select(F.col(id_col).alias("id"), F.lower(name_col).alias("name"), F.col(type_col).alias("type"), F.col(confidence_col).cast("double").alias("confidence")), "entities")
+    firsts = written(rows.groupBy("name", "type").agg(F.min("id").alias("id")), "firsts")
+    names = firsts.groupBy("name").agg(F.min("id").alias("id"))
+    near = _near(names, max(0.0, (least - 0.2) / 0.8)).join(names.select(F.col("id").alias("a"), F.col("name").alias("a_name")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("b_name")), "b")
+    met = near.select("a_name", "b_name", "similarity").unionByName(near.select(F.col("b_name").alias("a_name"), F.col("a_name").alias("b_name"), "similarity")).unionByName(names.select(F.col("name").alias("a_name"), F.col("name").alias("b_name"), F.lit(1.0).alias("similarity")))
+    a, b = (firsts.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "type"))) for s in "ab")
+    scored = met.join(a, "a_name").join(b, "b_name").filter("a_id < b_id").withColumn("score", entity_similarity(F.col("similarity"), F.col("a_type") == F.col("b_type")))
+    lead = _lead(firsts.select("id"), written(scored.filter(F.col("score") > least).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "similar"))
+    own = rows.join(firsts.withColumnRenamed("id", "first"), ["name", "type"]).join(lead.withColumnRenamed("id", "first"), "first").select("id", "leader", "confidence")
+    sums = own.groupBy("leader").agg(F.least(F.lit(1.0), F.avg(F.coalesce("confidence", F.lit(0.5)))).alias("confidence"))
+    kind = firsts.select(F.col("id").alias("leader"), F.col("type").alias("entity_type"))
+    return own.select("id", "leader").join(sums, "leader").join(kind, "leader").select("id", "leader", "entity_type", "confidence")
+
+
 def leaders(df: DataFrame, id_col: str, name_col: str, least: float) -> DataFrame:
     """(id, leader): greedy leader clustering of distinct names in the order of their ids (E5).
 
@@ -145,7 +203,11 @@ def leaders(df: DataFrame, id_col: str, name_col: str, least: float) -> DataFram
     settles the names that no open name comes before, and those similar to them.
     """
     names = written(_distinct_names(df, id_col, name_col), "names")
-    pairs = written(_near(names, least).select("a", "b"), "similar")
+    return _lead(names.select("id"), written(_near(names, least).select("a", "b"), "similar"))
+
+
+def _lead(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, leader) of all names; pairs (a, b) of similar names have a before b."""
     open_pairs, joined = pairs, None
     while not open_pairs.isEmpty():
         heads = open_pairs.select("a").distinct().join(open_pairs.select(F.col("b").alias("a")), "a", "left_anti")

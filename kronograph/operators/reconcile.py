@@ -18,18 +18,32 @@ def clock_winner(versions: DataFrame, key: str, order: str) -> DataFrame:
     """(key, order) of the winner of a left fold by vector clocks (R2).
 
     A later version wins if some of its clocks are higher and none is lower;
-    concurrent versions keep the earlier one.
+    concurrent versions keep the earlier one. Each key streams through one task
+    in order, which holds the winner so far.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries("clock").alias("c"))))
-    zero = F.lit(0).cast("bigint")
 
-    def newer(a, b):
-        x, y = F.map_from_entries(a["c"]), F.map_from_entries(b["c"])
-        both = F.map_values(F.map_zip_with(x, y, lambda _, p, q: F.coalesce(q, zero) - F.coalesce(p, zero)))
-        return F.exists(both, lambda v: v > 0) & ~F.exists(both, lambda v: v < 0)
+    def newer(a: dict, b: dict) -> bool:
+        gaps = [b.get(n, 0) - a.get(n, 0) for n in {*a, *b}]
+        return any(g > 0 for g in gaps) and not any(g < 0 for g in gaps)
 
-    best = F.aggregate(F.slice(rows, 2, F.size(rows)), F.element_at(rows, 1), lambda a, b: F.when(newer(a, b), b).otherwise(a))
-    return versions.groupBy(key).agg(best["o"].alias(order))
+    def run(batches):
+        at, best = None, None
+        for pdf in batches:
+            out = []
+            for k, o, names, ticks in zip(*(pdf[c] for c in (key, order, "names", "ticks"))):
+                clock = dict(zip(names, ticks))
+                if best is None or k != at:
+                    if best is not None:
+                        out.append((at, best[0]))
+                    at, best = k, (o, clock)
+                elif newer(best[1], clock):
+                    best = o, clock
+            yield pd.DataFrame(out, columns=[key, order])
+        if best is not None:
+            yield pd.DataFrame([(at, best[0])], columns=[key, order])
+
+    rows = versions.select(key, order, F.map_keys("clock").alias("names"), F.map_values("clock").alias("ticks")).filter(F.col(key).isNotNull())
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, versions.select(key, order).schema)
 
 
 def ring_owner(keys: DataFrame, nodes: list[str], replicas: int) -> DataFrame:

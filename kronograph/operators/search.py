@@ -101,3 +101,11 @@ def hybrid(text: DataFrame, vector: DataFrame, text_weight: float, vector_weight
 def six_factor(text: Column, semantic: Column, centrality: Column, recency: Column, degree: Column, community: Column) -> Column:
     """0.30 text + 0.25 semantic + 0.15 centrality + 0.10 each of recency, degree and community (X11)."""
     return 0.30 * text + 0.25 * semantic + 0.15 * centrality + 0.10 * recency + 0.10 * degree + 0.10 * community
+
+
+def graph_rerank(hits: DataFrame, edges: DataFrame, boost: float) -> DataFrame:
+    """(id, score) of hits, higher by the share of their neighbours that are hits."""
+    steps = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other")))
+    own = steps.join(hits.select("id"), "id", "left_semi").join(hits.select(F.col("id").alias("other"), F.lit(1).alias("hit")), "other", "left")
+    share = own.groupBy("id").agg((F.count("hit") / F.count("*")).alias("share"))
+    return hits.join(share, "id", "left").select("id", (F.col("score") + boost * F.coalesce("share", F.lit(0.0))).alias("score"))

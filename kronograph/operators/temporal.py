@@ -75,3 +75,22 @@ def invalidate(edges: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
 def recency_weight(score: Column, valid_from: Column, start: Column, end: Column) -> Column:
     """Scores of rows outside a time range count half."""
     return F.when(valid_from.between(start, end), score).otherwise(score * 0.5)
+
+
+def merge_edges(edges: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """One edge for all of a key: the least id, the sum of weights, from the first start to the last end, open if one is open."""
+    end = F.when(F.bool_or(F.col("valid_to").isNull()), None).otherwise(F.max("valid_to"))
+    return edges.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("merged"), F.sum("weight").alias("weight"), F.min("valid_from").alias("valid_from"), end.alias("valid_to"))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns: list[str]) -> DataFrame:
+    """left with the given columns of right's last row of the same keys at the time or before; rows without one drop out.
+
+    One union and one sort by key and time, not a join of all pairs; of rows of
+    one time that with the largest columns counts.
+    """
+    a = left.select("*", F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_found"), F.lit(1).alias("_asks"))
+    b = right.select(*keys, time, F.struct(*columns).alias("_found"), F.lit(0).alias("_asks"))
+    by = Window.partitionBy(*keys).orderBy(time, "_asks", "_found").rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(b, allowMissingColumns=True).withColumn("_found", F.last("_found", ignorenulls=True).over(by))
+    return rows.filter("_asks = 1 and _found is not null").select(*left.columns, *(F.col(f"_found.{c}").alias(c) for c in columns))

@@ -61,16 +61,83 @@ def _(spark, d):
     return E.hourly_cap(events(spark, d), "event_type", 2).select("event_id")
 
 
-@query("cooldown")
+def fold_sql(start: str, step: str, select: str, columns: str = "") -> str:
+    """A fold over each user's events by a recursive query: r holds the state after each event, o the numbered events."""
+    return f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ r AS (SELECT user_id, k, event_id, {start} FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, o.event_id, {step} FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+ {select}"""
+
+
+_WAITED = "epoch(o.ts) - epoch(r.last) >= 3600"
+
+
+@query("cooldown", fold_sql("ts AS last, true AS ok", f"CASE WHEN {_WAITED} THEN o.ts ELSE r.last END, {_WAITED}", "SELECT event_id FROM r WHERE ok"))
 def _(spark, d):
     return E.cooldown(events(spark, d), "user_id", 3600.0).select("event_id")
 
 
-@query("circuit_breaker")
+_SENT = "list_filter(r.sent, lambda s: epoch(o.ts) - epoch(s) <= 86400)"
+
+
+@query("notify_limit", fold_sql("[ts] AS sent, true AS ok", f"CASE WHEN len({_SENT}) < 2 THEN list_append({_SENT}, o.ts) ELSE {_SENT} END, len({_SENT}) < 2", "SELECT event_id FROM r WHERE ok"))
+def _(spark, d):
+    return E.notify_limit(events(spark, d), "user_id", 2, 86400.0).select("event_id")
+
+
+# the state that an event meets, and what it makes of it, for two failures, a pause of an hour and one success
+_MET = "CASE WHEN r.state = 'open' AND epoch(o.ts) - epoch(r.since) >= 3600 THEN 'half_open' ELSE r.state END"
+_BAD = "o.event_type = 'error'"
+_NOW = f"CASE {_MET} WHEN 'closed' THEN CASE WHEN {_BAD} AND r.bads + 1 >= 2 THEN 'open' ELSE 'closed' END WHEN 'half_open' THEN CASE WHEN {_BAD} THEN 'open' ELSE 'closed' END ELSE 'open' END"
+
+
+@query(
+    "circuit_breaker",
+    fold_sql(
+        "'closed' AS state, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bads, ts AS since",
+        f"{_NOW}, CASE {_MET} WHEN 'closed' THEN CASE WHEN {_BAD} THEN r.bads + 1 ELSE 0 END WHEN 'half_open' THEN CASE WHEN {_BAD} THEN r.bads ELSE 0 END ELSE r.bads END, CASE WHEN {_NOW} = 'open' AND {_MET} <> 'open' THEN o.ts ELSE r.since END",
+        "SELECT user_id, event_id, state FROM r",
+    ),
+)
 def _(spark, d):
     return E.circuit_breaker(events(spark, d), "user_id", failures=2, pause=3600.0, successes=1)
 
 
+_DOWN = "CASE WHEN r.since IS NOT NULL AND epoch(o.ts) - epoch(r.since) >= 86400 THEN NULL ELSE r.since END"
+_BADS = f"CASE WHEN ({_DOWN}) IS NOT NULL THEN r.bads WHEN NOT {_BAD} THEN 0 WHEN r.since IS NOT NULL THEN 1 ELSE r.bads + 1 END"
+
+
+@query(
+    "failover",
+    fold_sql(
+        "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bads, CAST(NULL AS TIMESTAMP) AS since",
+        f"{_BADS}, CASE WHEN ({_DOWN}) IS NOT NULL THEN r.since WHEN {_BADS} >= 2 THEN o.ts END",
+        "SELECT user_id, event_id, since IS NULL AS up FROM r",
+    ),
+)
+def _(spark, d):
+    return E.failover(events(spark, d), "user_id", failures=2, recovery=86400.0)
+
+
+_OVER = "r.activity IS NULL OR epoch(o.ts) - epoch(r.last) > 86400"
+_TENTHS = "CASE WHEN o.event_type = r.activity THEN least(10, r.tenths + 1) ELSE greatest(0, r.tenths - 1) END"
+_KIND = f"CASE WHEN {_TENTHS} < 3 THEN o.event_type ELSE r.activity END"
+_LEFT = f"CASE WHEN {_TENTHS} < 3 THEN 5 ELSE {_TENTHS} END"
+_DONE = f"r.actions + 1 > 10 AND {_LEFT} > 7"
+
+
+@query(
+    "sessions_full_rules",
+    fold_sql(
+        "event_type AS activity, 5 AS tenths, ts AS started, ts AS last, 1 AS actions, CAST(NULL AS STRUCT(activity VARCHAR, started TIMESTAMP, ended TIMESTAMP, actions INTEGER, complete BOOLEAN)) AS ended",
+        f"""CASE WHEN {_OVER} THEN o.event_type WHEN {_DONE} THEN NULL ELSE {_KIND} END, CASE WHEN {_OVER} THEN 5 ELSE {_LEFT} END, CASE WHEN {_OVER} THEN o.ts ELSE r.started END, o.ts, CASE WHEN {_OVER} THEN 1 ELSE r.actions + 1 END,
+ CASE WHEN r.activity IS NULL THEN NULL WHEN epoch(o.ts) - epoch(r.last) > 86400 THEN {{'activity': r.activity, 'started': r.started, 'ended': r.last, 'actions': r.actions, 'complete': false}} WHEN {_DONE} THEN {{'activity': {_KIND}, 'started': r.started, 'ended': o.ts, 'actions': r.actions + 1, 'complete': true}} END""",
+        "SELECT user_id, ended.activity AS activity, ended.started AS started, ended.ended AS ended, CAST(ended.actions AS BIGINT) AS actions, ended.complete AS complete FROM r WHERE ended IS NOT NULL",
+    ),
+)
+def _(spark, d):
+    return E.work_sessions(events(spark, d), "user_id", "event_type", 86400.0)
+
+
 @query("trailing_window", "SELECT event_id, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS mean FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY t RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
 def _(spark, d):
     return E.trailing(events(spark, d), "event_type", 3600).select("event_id", "n", F.round("mean", 6).alias("mean"))
@@ -217,7 +284,7 @@ def _(spark, d):
     return events(spark, d).groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("late_events", "SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT * FROM events WHERE user_id = 7)) WHERE ts < seen - INTERVAL 10 MINUTE")
+@query("late_events", "SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) WHERE ts < seen - INTERVAL 10 MINUTE")
 def _(spark, d):
     e = events(spark, d)
     seen = F.max("ts").over(Window.partitionBy("user_id").orderBy("value", "event_id").rowsBetween(Window.unboundedPreceding, -1))
@@ -251,7 +318,16 @@ def _(spark, d):
     return events(spark, d).groupBy(F.col("user_id").alias("id")).agg(F.when(F.first("user_id") % 2 == 0, F.max_by("value", order)).otherwise(F.min_by("value", order)).alias("value"))
 
 
-@query("vector_clock")
+_HIGHER = "(o.event_id % 5 > r.a OR o.event_id % 3 > r.b) AND o.event_id % 5 >= r.a AND o.event_id % 3 >= r.b"
+
+
+@query(
+    "vector_clock",
+    f"""WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+ r AS (SELECT user_id, k, event_id AS best, event_id % 5 AS a, event_id % 3 AS b FROM o WHERE k = 1
+ UNION ALL SELECT o.user_id, o.k, CASE WHEN {_HIGHER} THEN o.event_id ELSE r.best END, CASE WHEN {_HIGHER} THEN o.event_id % 5 ELSE r.a END, CASE WHEN {_HIGHER} THEN o.event_id % 3 ELSE r.b END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+ SELECT user_id AS id, arg_max(best, k) AS event_id FROM r GROUP BY user_id""",
+)
 def _(spark, d):
     from kronograph.operators.reconcile import clock_winner
 

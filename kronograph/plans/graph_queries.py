@@ -128,7 +128,7 @@ def _(spark, d):
 
 
 def propagation_sql(rounds: int) -> str:
-    out = ["both_ends AS (SELECT 'S:'||s_suppkey AS id, 'N:'||s_nationkey AS other FROM supplier UNION ALL SELECT 'N:'||s_nationkey, 'S:'||s_suppkey FROM supplier)", "l0 AS (SELECT DISTINCT id, id AS label FROM both_ends)"]
+    out = ["lives AS (SELECT 'S:'||s_suppkey AS id, 'N:'||s_nationkey AS other FROM supplier UNION ALL SELECT 'C:'||c_custkey, 'N:'||c_nationkey FROM customer)", "both_ends AS (SELECT * FROM lives UNION ALL SELECT other, id FROM lives)", "l0 AS (SELECT DISTINCT id, id AS label FROM both_ends)"]
     for k in range(rounds):
         out.append(f"l{k + 1} AS (SELECT id, label FROM (SELECT b.id, l.label, row_number() OVER (PARTITION BY b.id ORDER BY count(*) DESC, l.label) AS r FROM both_ends b JOIN l{k} l ON b.other = l.id GROUP BY b.id, l.label) WHERE r = 1)")
     return "WITH " + ",\n".join(out) + f" SELECT id, label FROM l{rounds}"
@@ -136,7 +136,7 @@ def propagation_sql(rounds: int) -> str:
 
 @query("label_propagation", propagation_sql(5))
 def _(spark, d):
-    return graph.label_propagation(edges(spark, d, "IN_NATION").filter(F.col("source_id").startswith("S:")), 5)
+    return graph.label_propagation(edges(spark, d, "IN_NATION"), 5)
 
 
 def pagerank_sql(rounds: int) -> str:

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from kronograph.plans.registry import query
+from kronograph.plans import event_queries  # noqa: F401  the same results by batch
+from kronograph.plans.registry import ORACLE_SQL, query
 from kronograph.sources.shared import shared_folder
 from kronograph.streaming import streams
 
@@ -34,6 +35,17 @@ def _(spark, d):
     return _ran(spark, d, streams.novelty, "append")
 
 
-@query("stream_cooldown")
+@query("stream_cooldown", ORACLE_SQL["cooldown"])
 def _(spark, d):
     return _ran(spark, d, lambda e: streams.cooldown(e, 3600.0), "append").select("event_id")
+
+
+@query("stream_sessions", ORACLE_SQL["sessions_gap"].replace("count(*) AS actions, min(ts) AS started, max(ts) AS ended", "count(*) AS actions, min(ts) AS started"))
+def _(spark, d):
+    out = _ran(spark, d, streams.sessions, "complete")
+    return out.select("user_id", "actions", F.col("started").cast("timestamp_ntz").alias("started"), F.round("value", 6).alias("value"))
+
+
+@query("stream_join", "SELECT a.event_id, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'error' AND b.event_type <> 'error'")
+def _(spark, d):
+    return _ran(spark, d, lambda e: streams.matched(e.filter("event_type = 'error'"), e.filter("event_type <> 'error'"), 3600), "append")

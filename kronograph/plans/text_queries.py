@@ -44,7 +44,11 @@ def _(spark, d):
     return messages(spark, d).select("conv_id", "turn", F.array_join(F.slice(extract.capitalised(F.col("text")), 1, 3), ", ").alias("summary"))
 
 
-@query("ner_rules", "SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+ [A-Z][a-z]+)\\b', 1)) AS text, 'Person' AS label, 0.8::DOUBLE AS score FROM documents WHERE lang = 'en' AND strlen(text) = length(text) UNION ALL SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b([A-Z][A-Za-z]* (?:Inc|Corp|LLC|Ltd|Company|University))\\b', 1)), 'Organization', 0.8 FROM documents WHERE lang = 'en' AND strlen(text) = length(text) UNION ALL SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b((?:San|New|Los) [A-Z][a-z]+)\\b', 1)), 'Location', 0.8 FROM documents WHERE lang = 'en' AND strlen(text) = length(text)")
+# DuckDB ends words by ASCII alone: letters and digits beyond it become _, other characters a dot; no rule matches either
+_NER = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{M}\p{N}\p{Pc}]', '.', 'g'), '[^\x00-\x7F]', '_', 'g')"
+
+
+@query("ner_rules", " UNION ALL ".join(f"SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all({_NER}, '{rule}', 1)) AS text, '{label}' AS label, 0.8::DOUBLE AS score FROM documents" for label, rule in extract.NER.items()))
 def _(spark, d):
     return extract.ner(table(spark, d, "documents"), "doc_id", "text")
 
@@ -69,7 +73,7 @@ SIM = "CASE WHEN lower(a.name) = lower(b.name) THEN 1.0 ELSE 1 - levenshtein(low
 NAMES = "n AS (SELECT lower(p_name) AS name, min('P:'||p_partkey) AS id FROM part GROUP BY 1)"
 
 
-@query("dedup_entities_pairs", f"WITH {NAMES} SELECT a.id AS a, b.id AS b, round({SIM}, 6) AS similarity FROM n a JOIN n b ON a.id < b.id AND a.name[1:3] = b.name[1:3] WHERE {SIM} >= 0.5")
+@query("dedup_entities_pairs", f"WITH {NAMES} SELECT a.id AS a, b.id AS b, round({SIM}, 6) AS similarity FROM n a JOIN n b ON a.id < b.id WHERE {SIM} >= 0.5")
 def _(spark, d):
     return extract.similar_pairs(entities(spark, d).filter("entity_type = 'Part'"), "id", "name", 0.5).withColumn("similarity", F.round("similarity", 6))
 
@@ -287,7 +291,7 @@ def _(spark, d):
     return messages(spark, d).filter(T.any_of(F.lower("text"), ["eureka", "finally", "breakthrough", "ered"])).select("conv_id", "turn")
 
 
-@query("prototype_classify", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT label, v FROM e WHERE vec_id < 10), s AS (SELECT e.vec_id, p.label, round(max(list_cosine_similarity(e.v, p.v)), 6) AS s FROM e, p GROUP BY ALL) SELECT vec_id, arg_min(label, (-s, label)) AS label FROM s GROUP BY vec_id")
+@query("prototype_classify", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), c AS (SELECT label, k, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM e WHERE label IS NOT NULL) GROUP BY ALL), p AS (SELECT label, list(x ORDER BY k) AS v FROM c GROUP BY label), s AS (SELECT e.vec_id, p.label, round(list_cosine_similarity(e.v, p.v), 6) AS s FROM e, p) SELECT vec_id, arg_min(label, (-s, label)) AS label FROM s GROUP BY vec_id")
 def _(spark, d):
     from kronograph.functions.vectors import cosine
 

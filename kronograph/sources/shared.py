@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a new local folder where that is unset (tests)."""
+    """spark.checkpoint.dir of the session, or a new local folder where that is unset and all tasks run on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         folder = getattr(sc, "_kronograph_folder", None)
         if folder is None:
             folder = sc._kronograph_folder = "file://" + tempfile.mkdtemp(prefix="kronograph")

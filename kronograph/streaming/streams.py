@@ -62,10 +62,16 @@ def novelty(events: DataFrame, least: float = 0.7, expire_ms: int | None = None)
     return events.groupBy("event_type").applyInPandasWithState(step, "event_type string, event_id bigint", "seen boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout)
 
 
-def cooldown(events: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """Events that come at least so long after the last accepted one of their user (Z4); late ones are dropped."""
+def cooldown(events: DataFrame, seconds: float = 30.0, late: str = "1 day") -> DataFrame:
+    """Events that come at least so long after the last accepted one of their user (Z4); late ones are dropped.
+
+    A user's state goes once the watermark has passed the end of the cooldown.
+    """
 
     def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.getOption
         last = last[0] if last else None
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])  # one user's events of one micro-batch
@@ -76,9 +82,23 @@ def cooldown(events: DataFrame, seconds: float = 30.0) -> DataFrame:
                 last = at
                 taken.append(e)
         state.update((last,))
+        # the limit may lie behind the watermark already: then the state goes with the next batch
+        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"user_id": [key[0]] * len(taken), "event_id": taken})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint", "last double", "append", GroupStateTimeout.NoTimeout)
+    watched = events.withWatermark("at", late)
+    return watched.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def matched(left: DataFrame, right: DataFrame, seconds: int, late: str = "1 day") -> DataFrame:
+    """(event_id, other): pairs of events of two streams that one user made within a time of each other.
+
+    Both sides have watermarks and the join a time range, so state behind it is dropped.
+    """
+    a = left.withWatermark("at", late).select("user_id", "event_id", F.col("at").alias("a"))
+    b = right.withWatermark("at", late).select(F.col("user_id").alias("user"), F.col("event_id").alias("other"), F.col("at").alias("b"))
+    span = F.expr(f"interval {int(seconds)} seconds")
+    return a.join(b, (F.col("user_id") == F.col("user")) & (F.col("b") >= F.col("a")) & (F.col("b") <= F.col("a") + span)).select("event_id", "other")
 
 
 def run_available(out: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

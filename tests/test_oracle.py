@@ -26,12 +26,7 @@ def db(sf):
     return con
 
 
-SOME = ["node_by_id", "snapshot_at", "conflicts", "resolve_conflicts", "version_history", "signature_dedup", "graph_transformation", "bfs", "components", "community_stats",
-        "label_propagation", "search_memory", "vector_topk_cosine", "bm25", "graph_hybrid_search", "novelty_types", "sessions_gap", "trailing_window", "ema", "histogram",
-        "lww", "extract_relations", "ner_rules", "dedup_edges_exact", "chunk_4_3", "symbols", "symbol_edges", "stream_tumbling", "stream_novelty"]
-
-
-@pytest.mark.parametrize("name", SOME if not os.environ.get("ALL_QUERIES") else sorted(plans.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
 def test_query_matches_sql(spark, db, sf, name):
     ours = plans.QUERIES[name](spark, sf).toPandas()
     theirs = db.sql(plans.ORACLE_SQL[name]).df()
