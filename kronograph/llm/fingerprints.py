@@ -6,7 +6,9 @@ Every paragraph's digest (with its running number among equal ones) is put into
 three cells of a sketch; a cell sums counts, digests and check values. Two
 sketches subtract cell by cell, and peeling recovers the digests that differ.
 Where peeling fails, both sketches are made again at a larger size, so likeness
-is exact up to equal digests: 2 x shared / (paragraphs of both).
+is exact up to equal digests: 2 x shared / (paragraphs of both). The larger ones
+are made of the paragraphs, which only the run has: from stored fingerprints alone
+near values follow where the CELLS cells peel, and not where texts differ more.
 
 The text that follows a document is found by dealing the documents into ranges
 of ids (bounds from approximate quantiles of the id column) and sending the
@@ -35,6 +37,8 @@ from kronograph.llm.common import clean_names, cut, ship, shuffle_partitions, ta
 #: Cells of a stored sketch; a word ends a paragraph with a chance of 1 in PARAGRAPH_WORDS.
 CELLS, PARAGRAPH_WORDS = 24, 8
 HASHES = 3
+#: Bytes of text that a range of ids has on average at most.
+RANGE_BYTES = 64 << 20
 
 _U = np.uint64
 
@@ -175,7 +179,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     ship(spark)
     docs = clean_names(docs, doc_id=id_col, text=text_col)
-    ranges = shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
     ids = docs.select("doc_id").filter("doc_id is not null")
     # one number for each range, not for each document
     bounds = sorted({int(b) for b in ids.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
