@@ -269,6 +269,26 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+def test_embedding_dedup_of_several_lengths(spark):
+    """Vectors of each length link among themselves, in blocks and strips of their own."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for n, many in ((3, 90), (6, 50), (2, 2), (1, 1)):
+        x = rnd.normal(size=(many, n))
+        x[many // 2 :] = x[: many - many // 2] * 2 + 1e-3
+        rows += [(len(rows) + k, v.tolist()) for k, v in enumerate(x)]
+    rnd.shuffle(rows)
+    for kind in ("double", "float"):
+        df = spark.createDataFrame([(int(i), v) for i, v in rows], f"vec_id bigint, embedding array<{kind}>")
+        values = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in df.collect()}
+        got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, block=8).collect()}
+        near = {i: [j for j, y in values.items() if j != i and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9] for i, x in values.items()}
+        label = {i: i for i in values}
+        for _ in values:
+            label = {i: min([label[i], *(label[j] for j in near[i])]) for i in values}
+        assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (len(near[i]), label[i]) for i in values}
+
+
 PAGE = "<html><head><title>t</title><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li>a<li>b</ul></nav>{}<aside>side</aside><div class='cookie-notice'>ok?</div><form><p>mail</p></form><footer>&copy; x</footer></body></html>"
 
 
@@ -283,6 +303,95 @@ def test_html(spark):
     assert (got[101]["text"], got[102]["text"], got[103]["text"]) == ("", "", got[0]["text"])
 
 
+#: No tag or class says what is content: menu, notice, side column and foot are plain tables and divisions; the foot varies.
+BARE = "<html><body><div><div>Site</div><div><a href=a>Home {0}</a> <a href=b>News</a></div></div><div><div><p>Read us daily {1}</p></div><div>{2}</div><div><div><a href=x>Other story {0}</a></div><div><a href=y>Third story {0}</a></div></div></div><div>Printed {0} at noon</div></body></html>"
+
+
+def test_html_without_markup_that_tells(spark):
+    rnd = random.Random(4)
+    says = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randint(0, 99)) for _ in range(n))
+    for pages in (2, 7):
+        rows, want = [], []
+        for k in range(pages):
+            parts = [says(60) for _ in range(3)]
+            extra = "<div><p>Join our list</p></div>" if pages > 3 else ""
+            rows.append((k, f"http://h.example/{k}", BARE.format(k, pages, "<h1>" + says(4) + "</h1>" + extra + "".join(f"<p>{p}</p>" for p in parts))))
+            want.append(parts)
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+        for k in range(pages):
+            assert got[k].split("\n\n")[1:] == want[k] and got[k].startswith(rows[k][2].partition("<h1>")[2].partition("</h1>")[0])
+
+
+def test_simple_tree_matching_is_exact():
+    rnd = random.Random(6)
+
+    def tree(depth):
+        slot = html_extract.Slot(rnd.choice("abc"))
+        slot.children = [tree(depth - 1) for _ in range(rnd.randint(0, 4))] if depth else []
+        return slot
+
+    def plain(x, y):
+        if x.label != y.label:
+            return 0
+        best = [[0] * (len(y.children) + 1) for _ in range(len(x.children) + 1)]
+        for i, a in enumerate(x.children):
+            for j, b in enumerate(y.children):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain(a, b))
+        return 1 + best[-1][-1]
+
+    for _ in range(150):
+        x, y = tree(4), tree(4)
+        x.label = y.label = "#root"
+        page = html_extract.numbered(html_extract.shape(y))
+        matching = html_extract.Matching(html_extract.numbered(html_extract.shape(x)))
+        pairs = matching.align(page)
+        assert len(pairs) == plain(x, y) == len({n for n, _ in pairs}) == len({s.number for _, s in pairs})
+        labels = [s.label for s in html_extract.count(matching.seed)]
+        assert all(labels[n] == s.label for n, s in pairs)
+        ordered = sorted((n, s.number) for n, s in pairs)
+        assert ordered == sorted(ordered, key=lambda p: p[1])
+    wide = html_extract.fold(html_extract.parse("<div><b>x</b><h2>a</h2><p>b</p></div>" * 300))
+    assert len(html_extract.Matching(html_extract.numbered(html_extract.shape(wide))).align(wide)) == wide.size
+    deep = html_extract.fold(html_extract.parse("<div>" * 5000 + "x"))
+    assert len(html_extract.Matching(html_extract.numbered(html_extract.shape(deep))).align(deep)) == 5001
+
+
+def test_ordinal_fit_against_plain_descent():
+    """The penalised likelihood of the fit is as good as that of a plain descent with numerical gradients."""
+    rnd = np.random.default_rng(2)
+    n, k = 60, 4
+    found, grades = [], []
+    for _ in range(n):
+        own = np.flatnonzero(rnd.random(k) < 0.5)
+        found.append((own * 7 + 3).astype(np.int32))
+        grades.append(int(np.clip(round(own.sum() / 3 + rnd.normal() * 0.7), 0, 2)))
+    grades = np.array(grades)
+    grades[:3] = [0, 1, 2]
+    m = quality.fit(found, grades)
+    share = np.bincount(grades) / n
+    weight = 1 / np.sqrt(share)[grades]
+    weight /= weight.mean()
+
+    def loss(w, t):
+        s = np.array([sum(w[f] for f in x.tolist()) for x in found])
+        edges = np.concatenate([[-np.inf], t, [np.inf]])
+        p = 1 / (1 + np.exp(-(edges[grades + 1] - s))) - 1 / (1 + np.exp(-(edges[grades] - s)))
+        return -(weight * np.log(np.maximum(p, 1e-12))).mean() + quality.PENALTY / 2 * sum(x * x for x in w.values())
+
+    used = sorted({f for x in found for f in x.tolist()})
+    params = np.zeros(len(used) + 2)
+    params[-2:] = -1, 1
+
+    def of(x):
+        return loss(dict(zip(used, x)), np.sort(x[-2:]))
+
+    for step in range(1500):
+        grad = np.array([(of(params + e) - of(params - e)) / 2e-5 for e in np.eye(len(params)) * 1e-5])
+        params -= 0.5 * grad
+    mine = loss({f: float(m.weights[f]) for f in used}, m.thresholds)
+    assert mine <= of(params) + 0.02 and m.thresholds[0] < m.thresholds[1], (mine, of(params))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi <|end|> <\\|end|>"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 2, "assistant", None), (2, 1, "assistant", "b\\"), (2, 0, None, ""), (None, 0, "assistant", "<|endoftext|>")]
     turns = chat_format.format_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), PATH)
