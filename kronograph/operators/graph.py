@@ -133,19 +133,22 @@ def louvain(edges: DataFrame, rounds: int = 20, levels: int = 3) -> DataFrame:
     grows. Communities then become nodes of the next level.
     """
     pairs = edges.filter("source_id <> target_id").groupBy(F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id")).agg(F.sum("weight").alias("weight"))
-    graph = written(pairs, "pairs")
-    final = written(graph.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct().withColumn("label", F.col("id")), "final")
-    base = graph
-    loops = None
+    first = Written(pairs, "pairs")
+    base = graph = first.read()
+    final = Written(graph.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct().withColumn("label", F.col("id")), "final")
+    loops, done = None, [first]  # tables that the next level still reads
     for level in range(levels):
         both = graph.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), "weight").unionByName(graph.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), "weight"))
         strength = both.groupBy("id").agg(F.sum("weight").alias("k"))
         if loops is not None:
             strength = strength.join(loops, "id", "full").select("id", (F.coalesce("k", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("k"))
-        strength = written(strength, "strength")
+        strengths = Written(strength, "strength")
+        done.append(strengths)
+        strength = strengths.read()
         two_m = strength.agg(F.sum("k")).first()[0]
-        labels = written(strength.select("id", F.col("id").alias("label")), "labels")
-        best = _quality(base, _through(final, labels))
+        held = Written(strength.select("id", F.col("id").alias("label")), "labels")
+        labels = held.read()
+        best = _quality(base, _through(final.read(), labels))
         moved = False
         still = 0
         for r in range(rounds):
@@ -159,26 +162,37 @@ def louvain(edges: DataFrame, rounds: int = 20, levels: int = 3) -> DataFrame:
             every = scored.select("id", "label", "old", "gain").unionByName(stay).groupBy("id", "label", "old").agg(F.max("gain").alias("gain"))
             choice = every.groupBy("id").agg(F.min_by("label", F.struct(-F.round("gain", 9), F.col("label") != F.col("old"), "label")).alias("to"), F.first("old").alias("old"))
             turn = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(2)) == r % 2
-            new = written(choice.select("id", F.when(turn, F.col("to")).otherwise(F.col("old")).alias("label")), "labels")
-            q = _quality(base, _through(final, new))
+            new = Written(choice.select("id", F.when(turn, F.col("to")).otherwise(F.col("old")).alias("label")), "labels")
+            q = _quality(base, _through(final.read(), new.read()))
             if q > best + 1e-9:
-                labels, best, moved, still = new, q, True, 0
+                held.drop()
+                held, labels, best, moved, still = new, new.read(), q, True, 0
             else:
+                new.drop()
                 still += 1
                 if still == 2:
                     break
-        final = written(_through(final, labels), "final")
+        after = Written(_through(final.read(), labels), "final")
+        final.drop()
+        final = after
+        done.append(held)
         if not moved:
             break
         up = supergraph(graph, labels)
         inside = up.filter("c_src = c_dst").select(F.col("c_src").alias("id"), F.col("weight").alias("loop"))
         if loops is not None:
             inside = inside.unionByName(labels.join(loops, "id").select(F.col("label").alias("id"), "loop"))
-        loops = written(inside.groupBy("id").agg(F.sum("loop").alias("loop")), "loops")
-        graph = written(up.filter("c_src <> c_dst").select(F.col("c_src").alias("source_id"), F.col("c_dst").alias("target_id"), "weight"), "pairs")
+        looped = Written(inside.groupBy("id").agg(F.sum("loop").alias("loop")), "loops")
+        folded = Written(up.filter("c_src <> c_dst").select(F.col("c_src").alias("source_id"), F.col("c_dst").alias("target_id"), "weight"), "pairs")
+        for table in done[1:]:  # the first one is what modularity is counted on
+            table.drop()
+        done[1:] = looped, folded
+        loops, graph = looped.read(), folded.read()
         if graph.isEmpty():
             break
-    return final
+    for table in done:
+        table.drop()
+    return final.read()
 
 
 def _through(final: DataFrame, labels: DataFrame) -> DataFrame:
