@@ -265,8 +265,8 @@ class Block(Tree):
 
 # -- a Bloom filter of row keys ------------------------------------------------
 
-#: Bits for each key, hashes, and the most bits in all (64 MB); beyond that more rows pass, none is lost.
-BITS, HASHES, MOST_BITS = 16, 4, 1 << 29
+#: Bits for each key, hashes, the most bits in all (64 MB; beyond that more rows pass, none is lost), and parts that are made apart.
+BITS, HASHES, MOST_BITS, PARTS = 16, 4, 1 << 29, 64
 
 
 def _bits(keys: np.ndarray, size: int) -> np.ndarray:
@@ -278,23 +278,32 @@ def _bits(keys: np.ndarray, size: int) -> np.ndarray:
 def bloom_filter(rows: DataFrame, key: str) -> np.ndarray:
     """Bits of a Bloom filter of a bigint column; its size follows the number of rows up to MOST_BITS."""
     size = 1 << min(MOST_BITS.bit_length() - 1, max(16, (BITS * rows.count() - 1).bit_length()))
-    step = size // 8 // 64
+    step = size // PARTS
 
-    def mark(batches):
-        flags = np.zeros(size // 8, np.uint8)
+    def spread(batches):
         for batch in batches:
-            at = _bits(np.ascontiguousarray(batch.column(0).to_numpy()), size)
-            np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield table("part int, flags binary", {"part": list(range(64)), "flags": [flags[k * step : (k + 1) * step].tobytes() for k in range(64)]})
-
-    def merged(t: pa.Table) -> pa.Table:
-        flags = np.bitwise_or.reduce([np.frombuffer(f, np.uint8) for f in t["flags"].to_pylist()])
-        return pa.table({"part": pa.array([t["part"][0].as_py()], pa.int32()), "flags": pa.array([flags.tobytes()])})
+            at = np.sort(_bits(np.ascontiguousarray(batch.column(0).to_numpy()), size))
+            edges = np.searchsorted(at, np.arange(PARTS + 1) * step)
+            held = [k for k in range(PARTS) if edges[k] < edges[k + 1]]
+            yield table("part int, at binary", {"part": held, "at": [(at[edges[k] : edges[k + 1]] - k * step).astype("<u4").tobytes() for k in held]})
 
-    parts = rows.select(key).coalesce(8).mapInArrow(mark, "part int, flags binary").groupBy("part").applyInArrow(merged, "part int, flags binary").collect()
+    def mark(batches):
+        """Rows come sorted by part; one part's bits are held at a time."""
+        part, flags = None, None
+        for batch in batches:
+            for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != part:
+                    if part is not None:
+                        yield table("part int, flags binary", {"part": [part], "flags": [np.packbits(flags, bitorder="little").tobytes()]})
+                    part, flags = k, np.zeros(step, bool)
+                flags[np.frombuffer(at, "<u4")] = True
+        if part is not None:
+            yield table("part int, flags binary", {"part": [part], "flags": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    dealt = rows.select(key).mapInArrow(spread, "part int, at binary").repartition(PARTS, "part").sortWithinPartitions("part")
     out = np.zeros(size // 8, np.uint8)
-    for r in parts:
-        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["flags"], np.uint8)
+    for r in dealt.mapInArrow(mark, "part int, flags binary").collect():  # PARTS rows, MOST_BITS in all
+        out[r["part"] * step // 8 : (r["part"] + 1) * step // 8] = np.frombuffer(r["flags"], np.uint8)
     return out
 
 
@@ -358,7 +367,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         yield table(first_schema, {"doc_id": none, "hashed": none, "class": none, "n": none, "signature": none, "part": list(range(SKETCH_ROWS)), "counts": rows})
 
     base = Written(docs.mapInArrow(first, first_schema), "shingles")
-    rows = base.read().filter("part is null").select("doc_id", "hashed", "class", "n")
+    rows = Written(base.read().filter("part is null").select("doc_id", "hashed", "class", "n"), "rows").read()
 
     def added(t: pa.Table) -> pa.Table:
         total = sum((np.frombuffer(c, "<u4").astype(np.int64) for c in t["counts"].to_pylist()), np.zeros(per_row, np.int64))
@@ -425,7 +434,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     members = Written(member.unionByName(itself), "members")
     # blocks of one chunk become the groups that bitmaps say may link, named by their members
     single = members.read().filter("chunks = 1").select("class", "hub")
-    maps = base.read().filter("signature is not null").join(single.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
+    maps = base.read().filter("signature is not null").join(single.select("class").distinct().hint("merge"), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
     near_schema = "class bigint, hub bigint, chunk bigint, chunks bigint"
 
     def near(batches):
@@ -448,8 +457,12 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         out = finish()
         yield table(near_schema, dict(zip(("class", "hub", "chunk", "chunks"), zip(*out)))) if out else empty(near_schema)
 
-    marked = single.join(maps, "class").select("hub", "class", "n", "signature").repartition(partitions, "hub").sortWithinPartitions("hub", "class").mapInArrow(near, near_schema)
-    members = Written(marked.distinct().unionByName(members.read().filter("chunks > 1")), "near")
+    marked = single.join(maps.hint("merge"), "class").select("hub", "class", "n", "signature").repartition(partitions, "hub").sortWithinPartitions("hub", "class").mapInArrow(near, near_schema)
+    all_members = members
+    members = Written(marked.distinct().unionByName(all_members.read().filter("chunks > 1")), "near")
+    del marked, maps, single
+    for done in (base, all_members, holders):
+        done.drop()
     free_shuffles(spark)
     # one row of the input stands for each class that is in a block
     wanted = members.read().select("class").distinct()
@@ -499,27 +512,39 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
 
         return run
 
-    def grouped(who: DataFrame, cross: bool) -> DataFrame:
-        """who: class, hub, chunk, other."""
-        full = who.join(kept.read(), "class").select("hub", "chunk", "other", "class", "set")
+    def grouped(who: DataFrame, sets: DataFrame, cross: bool) -> DataFrame:
+        """who: class, hub, chunk, other. Both sides are large on a large corpus, so they are merged whatever their size."""
+        full = who.join(sets.hint("merge"), "class").select("hub", "chunk", "other", "class", "set")
         return full.repartition(partitions, "hub", "chunk", "other").sortWithinPartitions("hub", "chunk", "other", "class").mapInArrow(compared(cross), linked_schema)
 
     one = members.read().withColumn("other", F.lit(-1).cast("bigint"))
-    within = Written(grouped(one, False), "links")
+    within = Written(grouped(one, kept.read(), False), "links")
     free_shuffles(spark)
     links = within.read().filter("not alone").select("src", "dst")
     # blocks of several chunks: members apart from their hub meet the other chunks too
     apart = within.read().filter("alone").select(F.col("src").alias("class"), F.col("dst").alias("hub")).join(counted.read().filter("chunks > 1"), "hub").distinct()
     parts = apart.groupBy("hub").agg(F.ceil(F.count("*") / block).alias("parts"))
-    parts = Written(parts, "parts")
+    parts, more = Written(parts, "parts"), []
     if parts.read().limit(1).count():
         every = F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)
         lone = apart.join(parts.read(), "hub").select("class", "hub", F.explode(every).alias("chunk"), F.pmod(F.xxhash64("hub", "class"), F.col("parts")).alias("other"))
         rest = members.read().join(parts.read(), "hub").select("class", "hub", "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"))
-        across = Written(grouped(lone.unionByName(rest).distinct(), True), "across")
+        who = Written(lone.unionByName(rest).distinct(), "across")
+        # only the sets of these blocks are moved again
+        wide = spark.sparkContext.broadcast(bloom_filter(who.read().select("class").distinct(), "class"))
+
+        def those(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(in_filter(wide.value, batch.column(0).to_numpy())))
+
+        across = Written(grouped(who.read(), kept.read().mapInArrow(those, "class bigint, set binary"), True), "across-links")
         links = links.unionByName(across.read().select("src", "dst"))
+        who.drop()
+        more.append(across)
+    kept.drop()
+    free_shuffles(spark)
     joined = Written(connected_components(links), "components")
-    for done in (kept, holders, members, stands):
+    for done in (members, stands, counted, parts, within, *more):
         done.drop()
     least = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     least = least.join(joined.read(), least["class"] == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component"))
