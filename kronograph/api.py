@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kronograph.operators import extract, graph, search, temporal
+from kronograph.operators import extract, graph, search, store, temporal
 from kronograph.sources import model
 
 
@@ -51,3 +51,21 @@ class KnowledgeGraph:
         """SQL over the model's views entities, episodes and edges and over the tables."""
         model.register(self.spark, self.sf_dir)
         return self.spark.sql(text)
+
+    def history(self, node_id: str, *relationships: str) -> DataFrame:
+        """Versions of the edges of a node, in order."""
+        touching = store.adjacent(self.edges(*relationships), node_id)
+        return temporal.versions(touching)
+
+    def without_episodes(self, ids: DataFrame) -> DataFrame:
+        """The episodes that are left when those with the given ids go."""
+        return store.without(self.episodes(), ids)
+
+    def without_edges(self, ids: DataFrame, *relationships: str) -> DataFrame:
+        return store.without(self.edges(*relationships), ids)
+
+    def facts(self, text: str, limit: int = 20) -> DataFrame:
+        """Edges whose relationship or ends hold a text, newest first."""
+        t = text.lower()
+        hit = F.lower(F.concat_ws(" ", "source_id", "relationship", "target_id")).contains(t)
+        return search.top(self.edges().filter(hit), limit, F.desc("valid_from"), "id")

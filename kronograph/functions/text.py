@@ -40,9 +40,19 @@ def collection_name(path: Column) -> Column:
     return F.substring(F.md5(path), 1, 8)
 
 
+def chunk_id(text: Column) -> Column:
+    """chunk_ and the first 16 digits of the md5 (F8)."""
+    return F.concat(F.lit("chunk_"), F.substring(F.md5(text), 1, 16))
+
+
+def place(key: Column) -> Column:
+    """Place of a key on a ring of 2^60: the first 15 digits of its md5."""
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+
+
 def shard(key: Column, shards: int = 16) -> Column:
-    """Shard of a key."""
-    return F.pmod(F.xxhash64(key), F.lit(shards))
+    """Shard of a key: the first byte of its md5."""
+    return F.conv(F.substring(F.md5(key), 1, 2), 16, 10).cast("bigint") % shards
 
 
 def first_match(rules: list[tuple[Column, str]], default: str) -> Column:

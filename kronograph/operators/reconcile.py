@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kronograph.functions.text import place
+
 
 def last_writer(versions: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The version modified last."""
@@ -47,18 +51,16 @@ def clock_winner(versions: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def ring_owner(keys: DataFrame, nodes: list[str], replicas: int) -> DataFrame:
-    """(node, n): keys by owner on a consistent-hash ring.
+    """(node, n): keys by owner on a consistent-hash ring (R7); the owner is the node of the next point, the first after the last.
 
     The ring has replicas points for each node, so it is a small constant; an
     Arrow function finds each key's next point by binary search.
     """
-    import xxhash
-
-    points = sorted((xxhash.xxh64_intdigest(f"{n}#{k}") >> 1, n) for n in nodes for k in range(replicas))
+    points = sorted((int(hashlib.md5(f"{n}#{k}".encode()).hexdigest()[:15], 16), n) for n in nodes for k in range(replicas))
     at, owner = np.array([p for p, _ in points]), np.array([n for _, n in points])
 
     @F.pandas_udf("string")
     def find(h: pd.Series) -> pd.Series:
-        return pd.Series(owner[np.searchsorted(at, h.to_numpy() & (2**63 - 1)) % len(owner)])
+        return pd.Series(owner[np.searchsorted(at, h.to_numpy()) % len(owner)])
 
-    return keys.groupBy(find(F.xxhash64("key")).alias("node")).agg(F.count("*").alias("n"))
+    return keys.groupBy(find(place(F.col("key"))).alias("node")).agg(F.count("*").alias("n"))

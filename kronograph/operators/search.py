@@ -35,14 +35,15 @@ def top(df: DataFrame, limit: int, *order: Column | str, offset: int = 0) -> Dat
     return (out.offset(offset) if offset else out).limit(limit)
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """(field, token, id, tf, dl): the inverted index of some text columns."""
+def postings(docs: DataFrame, id_col: str, fields: dict[str, str], only: list[str] | None = None) -> DataFrame:
+    """(field, token, id, tf, dl): the inverted index of some text columns (X1), of some tokens only if a query needs no others."""
     out = None
     for field, column in fields.items():
         token = F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
         # counted within each document first, so its tokens are never shuffled one by one
-        counted = docs.select(F.col(id_col).alias("id"), F.explode(F.array(F.array_sort(token))).alias("tokens"))
-        rows = counted.select(F.lit(field).alias("field"), "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("field", "token", "id", "dl").agg(F.count("*").alias("tf"))
+        counted = docs.select(F.col(id_col).alias("id"), F.explode(F.array(token if only else F.array_sort(token))).alias("tokens"))
+        kept = F.filter("tokens", lambda w: w.isin(*only)) if only else F.col("tokens")
+        rows = counted.select(F.lit(field).alias("field"), "id", F.size("tokens").alias("dl"), F.explode(kept).alias("token")).groupBy("field", "token", "id", "dl").agg(F.count("*").alias("tf"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

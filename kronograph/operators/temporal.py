@@ -94,3 +94,14 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns
     by = Window.partitionBy(*keys).orderBy(time, "_asks", "_found").rowsBetween(Window.unboundedPreceding, 0)
     rows = a.unionByName(b, allowMissingColumns=True).withColumn("_found", F.last("_found", ignorenulls=True).over(by))
     return rows.filter("_asks = 1 and _found is not null").select(*left.columns, *(F.col(f"_found.{c}").alias(c) for c in columns))
+
+
+def contradictions(edges: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Keys with edges that are valid from one time on and say different things, with how many (T9: content conflict)."""
+    return edges.groupBy(*key, "valid_from").agg(F.count_distinct("properties", "weight").alias("contents"), F.min("id").alias("first")).filter("contents > 1")
+
+
+def version_conflicts(edges: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Edges that the system learned later than their successor in event time (T9: version conflict)."""
+    by = Window.partitionBy(*key).orderBy("valid_from", "id")
+    return edges.withColumn("_next", F.lead("created_at").over(by)).filter(F.col("created_at") > F.col("_next")).drop("_next")

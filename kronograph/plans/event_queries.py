@@ -335,21 +335,26 @@ def _(spark, d):
     return clock_winner(events(spark, d).select(F.col("user_id").alias("id"), "event_id", clock.alias("clock")), "id", "event_id")
 
 
-@query("shard_distribution")
+@query("shard_distribution", "SELECT CAST('0x'||substr(md5(user_id::VARCHAR), 1, 2) AS BIGINT) % 16 AS shard, count(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
     return events(spark, d).groupBy(T.shard(F.col("user_id").cast("string")).alias("shard")).agg(F.count("*").alias("n"))
 
 
-@query("hash_ring")
+@query(
+    "hash_ring",
+    """WITH p AS (SELECT CAST('0x'||substr(md5(node||'#'||k), 1, 15) AS BIGINT) AS pos, node FROM (VALUES ('a'), ('b'), ('c')) t(node), range(150) r(k)), least_one AS (SELECT arg_min(node, pos) AS node FROM p),
+ e AS (SELECT CAST('0x'||substr(md5(event_id::VARCHAR), 1, 15) AS BIGINT) AS pos FROM events)
+ SELECT coalesce(p.node, (SELECT node FROM least_one)) AS node, count(*) AS n FROM e ASOF LEFT JOIN p ON e.pos <= p.pos GROUP BY 1""",
+)
 def _(spark, d):
     from kronograph.operators.reconcile import ring_owner
 
     return ring_owner(events(spark, d).select(F.col("event_id").cast("string").alias("key")), ["a", "b", "c"], 150)
 
 
-@query("state_hash")
+@query("state_hash", "SELECT bit_xor(CAST('0x'||substr(md5(event_id||':'||user_id||':'||event_type), 1, 15) AS BIGINT)) AS hash, count(*) AS n FROM events")
 def _(spark, d):
-    return events(spark, d).agg(F.bit_xor(F.xxhash64("event_id", "value")).alias("hash"), F.count("*").alias("n"))
+    return events(spark, d).agg(F.bit_xor(T.place(F.concat_ws(":", "event_id", "user_id", "event_type"))).alias("hash"), F.count("*").alias("n"))
 
 
 @query("metrics_text", "SELECT 'events_total{type=\"'||event_type||'\"} '||count(*) AS line FROM events GROUP BY event_type")

@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kronograph.operators import extract, search, temporal
+from kronograph.functions import text as T
+from kronograph.functions import vectors
+from kronograph.operators import extract, providers, search, store, temporal
 from kronograph.operators.index import TextIndex
 from kronograph.operators.vector_index import VectorIndex
 from kronograph.plans.registry import query
-from kronograph.sources.model import edges, entities, table
+from kronograph.sources import files as sources
+from kronograph.sources.model import edges, entities, table, ts
 from kronograph.sources.shared import shared_folder
 
 TOKENS = "list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
@@ -112,3 +115,119 @@ def _(spark, d):
     """Hits with a tenth of the share of their neighbours that are hits as well."""
     hits = entities(spark, d).filter(F.lower("name").contains("nation_1")).select("id", F.lit(1.0).alias("score"))
     return search.graph_rerank(hits, edges(spark, d, "IN_REGION", "IN_NATION"), 0.1).withColumn("score", F.round("score", 6))
+
+
+@query("content_conflicts", "SELECT source_id, target_id, relationship, valid_from, count(DISTINCT (properties, weight)) AS contents, min(id) AS first FROM edges WHERE relationship = 'ORDERED' GROUP BY ALL HAVING count(DISTINCT (properties, weight)) > 1", "edges")
+def _(spark, d):
+    return temporal.contradictions(edges(spark, d, "ORDERED"))
+
+
+@query("task_levels", "SELECT 'R:'||r_regionkey AS id, 0::BIGINT AS level FROM region UNION ALL SELECT 'N:'||n_nationkey, 1 FROM nation UNION ALL SELECT 'C:'||c_custkey, 2 FROM customer")
+def _(spark, d):
+    """Customers need their nation, nations their region."""
+    tasks = entities(spark, d).filter(F.col("entity_type").isin("Region", "Nation", "Customer")).select("id")
+    needs = edges(spark, d, "IN_REGION", "IN_NATION").select(F.col("source_id").alias("id"), F.col("target_id").alias("needed"))
+    return providers.task_levels(tasks, needs)
+
+
+@query("degraded_values", "SELECT user_id, coalesce(f.v, o.v) AS value, f.v IS NULL AS stale FROM (SELECT user_id, max(value) AS v FROM events WHERE event_type = 'error' GROUP BY 1) f FULL JOIN (SELECT user_id, min(value) AS v FROM events GROUP BY 1) o USING (user_id)")
+def _(spark, d):
+    e = table(spark, d, "events")
+    fresh = e.filter("event_type = 'error'").groupBy("user_id").agg(F.max("value").alias("value"))
+    return providers.degraded(fresh, e.groupBy("user_id").agg(F.min("value").alias("value")), "user_id", "value")
+
+
+@query("provider_fallback", "SELECT conv_id, turn, length(text) AS answer, 'second' AS provider, 3 AS tries FROM conversations WHERE text IS NOT NULL")
+def _(spark, d):
+    """The first provider always fails, so the second one answers at the third try."""
+
+    def first(texts):
+        raise ConnectionError
+
+    told = providers.answered(table(spark, d, "conversations").filter("text is not null"), "text", {"first": first, "second": lambda texts: [len(t) for t in texts]}, attempts=2, kind="bigint")
+    return told.select("conv_id", "turn", "answer", "provider", "tries")
+
+
+@query("embedding_cache", "SELECT count(*) AS rows, count(DISTINCT text) AS texts, count(text) AS embedded FROM documents")
+def _(spark, d):
+    """Rows, distinct vectors of distinct texts, and rows with a vector."""
+    docs = providers.embedded(table(spark, d, "documents"), "text", lambda t: F.array(F.xxhash64(t).cast("double"), F.octet_length(t).cast("double")))
+    return docs.agg(F.count("*").alias("rows"), F.count_distinct("embedding").alias("texts"), F.count("embedding").alias("embedded"))
+
+
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("line_edits", "SELECT doc_id, md5(array_to_string(list_concat(list_concat(l[1:1], ['new line']), l[4:]), chr(10))) AS hash FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def _(spark, d):
+    """The second and third line of each text replaced by one."""
+    return table(spark, d, "documents").select("doc_id", F.md5(store.line_edit(F.col("text"), 2, 3, ["new line"])).alias("hash"))
+
+
+@query("chunk_ids", "SELECT doc_id, 'chunk_'||md5(text)[1:16] AS chunk, md5(source)[1:8] AS collection FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.chunk_id(F.col("text")).alias("chunk"), T.collection_name(F.col("source")).alias("collection"))
+
+
+@query("retry_delays", "SELECT event_id, least(100 * pow(2.0::DOUBLE, event_id % 12), 30000) AS delay FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", T.retry_delay(F.col("event_id") % 12).alias("delay"))
+
+
+@query("fitted_vectors", "SELECT vec_id, len(v) AS n, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS square, round(v[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) || [0.0::DOUBLE, 0.0::DOUBLE] AS v FROM embeddings)")
+def _(spark, d):
+    """Unit vectors, padded by two zeros."""
+    v = vectors.fitted(vectors.normalised(F.col("embedding")), 66)
+    return table(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.size("v").cast("bigint").alias("n"), F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("square"), F.round(F.element_at("v", 1), 6).alias("first"))
+
+
+@query("compacted", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def _(spark, d):
+    many, few = _folder(spark, "orders"), _folder(spark, "compact")
+    table(spark, d, "orders").repartition(16).write.parquet(many)
+    store.compact(spark, many, few, 2, ["o_orderdate"])
+    return spark.read.parquet(few).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("stored_chunks", "SELECT md5(source)[1:8] AS collection, count(*) AS n FROM documents WHERE source <> 'src1' GROUP BY source")
+def _(spark, d):
+    """Chunks by collection; one collection is dropped by its folder."""
+    at = _folder(spark, "chunks")
+    sources.append_chunks(table(spark, d, "documents").select(T.collection_name(F.col("source")).alias("collection"), T.chunk_id(F.col("text")).alias("id"), "text"), at)
+    gone = table(spark, d, "documents").filter("source = 'src1'").select(T.collection_name(F.col("source")).alias("collection")).distinct()
+    return spark.read.schema("id string, text string, collection string").parquet(at).join(gone, "collection", "left_anti").groupBy("collection").agg(F.count("*").alias("n"))
+
+
+@query("chunk_lines", "SELECT 'chunk_'||md5(text)[1:16] AS id, 1::BIGINT AS start_line FROM documents")
+def _(spark, d):
+    """Chunks through a folder of JSON lines."""
+    at = _folder(spark, "lines")
+    table(spark, d, "documents").select(T.chunk_id(F.col("text")).alias("id"), F.col("text").alias("content"), F.lit(1).alias("start_line")).write.json(at)
+    return sources.chunk_lines(spark, at).select("id", "start_line")
+
+
+@query("vector_store", "SELECT label, count(*) AS n FROM embeddings WHERE label <> 3 GROUP BY label")
+def _(spark, d):
+    """Vectors added in two appends, then one label's deleted."""
+    at = _folder(spark, "vectors")
+    e = table(spark, d, "embeddings")
+    for part in (e.filter("label < 5"), e.filter("label >= 5")):
+        sources.append_vectors(part, at, 64)
+    kept = store.without(spark.read.schema(e.schema).parquet(at), e.filter("label = 3"), "vec_id")
+    return kept.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("edge_lookup", "SELECT id, source_id, target_id FROM edges WHERE id = 'IN_NATION:C:7'", "edges")
+def _(spark, d):
+    return edges(spark, d, "IN_NATION").filter("id = 'IN_NATION:C:7'").select("id", "source_id", "target_id")
+
+
+@query("nodes_as_of", "SELECT entity_type, count(*) AS n FROM entities WHERE valid_from <= TIMESTAMP '1995-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1995-01-01') GROUP BY 1", "entities")
+def _(spark, d):
+    return temporal.snapshot(entities(spark, d), ts("1995-01-01")).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+@query("edge_type_filter", "SELECT relationship, count(*) AS n FROM edges WHERE relationship IN ('IN_REGION', 'ORDERED') GROUP BY 1", "edges")
+def _(spark, d):
+    return edges(spark, d, "IN_REGION", "ORDERED").groupBy("relationship").agg(F.count("*").alias("n"))

@@ -74,7 +74,7 @@ BM25 = f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), s AS (SELECT
 
 def bm25_scores(spark, d, words="the that erst"):
     docs = table(spark, d, "documents")
-    return search.bm25(search.postings(docs, "doc_id", {"content": "text"}), search.index_sizes(docs, {"content": "text"}), words, {"content": 1.0})
+    return search.bm25(search.postings(docs, "doc_id", {"content": "text"}, words.split()), search.index_sizes(docs, {"content": "text"}), words, {"content": 1.0})
 
 
 @query("bm25", BM25 + " SELECT id, round(score, 6) AS score FROM b ORDER BY score DESC, id LIMIT 50")

@@ -149,8 +149,9 @@ def _(spark, d):
     "edges",
 )
 def _(spark, d):
-    flag = F.get_json_object("properties", "$.flag")
-    e = store.first_per_signature(edges(spark, d, "SUPPLIED_BY"), [F.col("source_id"), F.col("target_id"), F.col("relationship"), flag])
+    flag = F.get_json_object("properties", "$.flag").alias("flag")
+    e = edges(spark, d, "SUPPLIED_BY").select("id", "source_id", "target_id", "relationship", flag)
+    e = store.first_per_signature(e, [F.col(c) for c in ("source_id", "target_id", "relationship", "flag")])
     return e.groupBy("source_id", "target_id").agg(F.min("id").alias("id"), F.count("*").alias("signatures"))
 
 

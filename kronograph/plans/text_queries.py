@@ -18,6 +18,11 @@ def messages(spark, d):
     return table(spark, d, "conversations")
 
 
+def named(spark, d):
+    """Messages with their names, in a column of its own: the pairs' lambdas would extract them again for each name."""
+    return messages(spark, d).select("conv_id", "turn", "text", F.explode(F.array(extract.capitalised(F.col("text")))).alias("names"))
+
+
 @query("extract_entities", f"SELECT conv_id, turn, unnest({CAPS}) AS entity, 0.6::DOUBLE AS confidence FROM conversations")
 def _(spark, d):
     return messages(spark, d).select("conv_id", "turn", F.explode(extract.capitalised(F.col("text"))).alias("entity"), F.lit(0.6).alias("confidence"))
@@ -29,13 +34,13 @@ PAIRS = f"WITH e AS (SELECT conv_id, turn, text, {CAPS} AS names FROM conversati
 
 @query("extract_relations", PAIRS + f" SELECT conv_id, turn, source, target, {RELATION} AS relation, 0.5::DOUBLE AS confidence FROM p")
 def _(spark, d):
-    pairs = messages(spark, d).select("conv_id", "turn", extract.relation_of(F.col("text")).alias("relation"), F.explode(extract.mention_pairs(extract.capitalised(F.col("text")))).alias("p"))
+    pairs = named(spark, d).select("conv_id", "turn", extract.relation_of(F.col("text")).alias("relation"), F.explode(extract.mention_pairs(F.col("names"))).alias("p"))
     return pairs.select("conv_id", "turn", F.col("p.a").alias("source"), F.col("p.b").alias("target"), "relation", F.lit(0.5).alias("confidence"))
 
 
 @query("mention_pairs", PAIRS + " SELECT source, target, count(*) AS n FROM p GROUP BY ALL HAVING count(*) > 1")
 def _(spark, d):
-    pairs = messages(spark, d).select(F.explode(extract.mention_pairs(extract.capitalised(F.col("text")))).alias("p"))
+    pairs = named(spark, d).select(F.explode(extract.mention_pairs(F.col("names"))).alias("p"))
     return pairs.groupBy(F.col("p.a").alias("source"), F.col("p.b").alias("target")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
@@ -78,7 +83,17 @@ def _(spark, d):
     return extract.similar_pairs(entities(spark, d).filter("entity_type = 'Part'"), "id", "name", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("dedup_entities_greedy")
+# names in the order of their ids; each looks for the first leader that is similar
+_ALIKE = "CASE WHEN x.name = n.name THEN 1.0 ELSE 1 - levenshtein(x.name, n.name) / CAST(greatest(strlen(x.name), strlen(n.name)) AS DOUBLE) END >= 0.75"
+
+
+@query(
+    "dedup_entities_greedy",
+    f"""WITH RECURSIVE m AS (SELECT lower(p_name) AS name, min('P:'||p_partkey) AS id FROM part GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM m),
+ r AS (SELECT 0::BIGINT AS k, CAST([] AS STRUCT(id VARCHAR, name VARCHAR)[]) AS lead, '' AS id, '' AS leader
+ UNION ALL SELECT k, CASE WHEN len(hit) = 0 THEN list_append(lead, {{'id': id, 'name': name}}) ELSE lead END, id, CASE WHEN len(hit) = 0 THEN id ELSE hit[1].id END FROM (SELECT n.k, n.id, n.name, r.lead, list_filter(r.lead, lambda x: {_ALIKE}) AS hit FROM r JOIN n ON n.k = r.k + 1))
+ SELECT id, leader FROM r WHERE k > 0""",
+)
 def _(spark, d):
     return extract.leaders(entities(spark, d).filter("entity_type = 'Part'"), "id", "name", 0.75)
 

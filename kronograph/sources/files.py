@@ -49,3 +49,36 @@ def append_vectors(df: DataFrame, path: str, dimension: int) -> None:
 def append_chunks(df: DataFrame, path: str) -> None:
     """Append chunks by collection, so that dropping a collection drops a folder."""
     df.write.mode("append").partitionBy("collection").parquet(path)
+
+
+def safetensors(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(row, vector) of a matrix in safetensors files (S22): 8 bytes of header length, a JSON header, then the numbers.
+
+    A file is one row of a binary scan, so it has to fit into a task.
+    """
+    import json
+
+    import numpy as np
+    import pandas as pd
+
+    kinds = {"F32": "<f4", "F64": "<f8", "F16": "<f2"}
+
+    def run(batches):
+        for pdf in batches:
+            for raw in pdf["content"]:
+                n = int.from_bytes(raw[:8], "little")
+                told = json.loads(raw[8 : 8 + n]).get(name)
+                if told is None:
+                    continue
+                first, last = told["data_offsets"]
+                data = raw[8 + n + first : 8 + n + last]
+                if told["dtype"] == "BF16":  # the upper half of a 32-bit float
+                    x = (np.frombuffer(data, "<u2").astype(np.uint32) << 16).view(np.float32)
+                else:
+                    x = np.frombuffer(data, kinds[told["dtype"]])
+                x = x.reshape(told["shape"]).astype(np.float64)
+                for at in range(0, len(x), 4096):
+                    part = x[at : at + 4096]
+                    yield pd.DataFrame({"row": np.arange(at, at + len(part)), "vector": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row bigint, vector array<double>")

@@ -108,6 +108,17 @@ def run_available(out: DataFrame, name: str, mode: str, checkpoint: str) -> Data
     return out.sparkSession.table(name)
 
 
+def notify(events: DataFrame, send: Callable[[DataFrame], None], checkpoint: str, every: str | None = None):
+    """Hand each micro-batch to a sender, in order (Z10, H9); every: a processing interval for loops that run on."""
+
+    def push(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            send(batch.withColumn("batch", F.lit(batch_id)))
+
+    out = events.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
 def ingest(events: DataFrame, target: str, checkpoint: str, before: Callable[[DataFrame], DataFrame] | None = None):
     """Append micro-batches to a Parquet table, once each (Z7): the batch id is part of the path, so a repeated batch overwrites itself."""
 

@@ -6,12 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kronograph import config
 from kronograph.functions import code as C
 from kronograph.functions import vectors
 from kronograph.operators import events as E
-from kronograph.operators import extract, parser, reconcile, temporal
+from kronograph.operators import extract, parser, providers, reconcile, temporal
 from kronograph.operators.index import TextIndex
 from kronograph.operators.vector_index import VectorIndex
+from kronograph.sources import files
+from kronograph.streaming import streams
 from tests.test_whole import alike
 
 RUST = '''/// Adds.
@@ -210,3 +213,53 @@ def test_as_of(spark):
         if kind == "error" and before:
             want[e] = max(before)[1]
     assert got == want
+
+
+def test_config(tmp_path):
+    (tmp_path / "app.toml").write_text('name = "a"\n[search]\nlimit = 5\nfast = false\n')
+    (tmp_path / "other.json").write_text('{"limit": 1}')
+    got = config.load("app.json", [tmp_path / "none", tmp_path], {"search": {"limit": 1, "boost": 2.0}, "tags": ["x"]}, "APP", {"APP_SEARCH_FAST": "true", "APP_SEARCH_BOOST": "3", "APP_TAGS": '["y"]'})
+    assert got == {"search": {"limit": 5, "boost": 3.0, "fast": True}, "tags": ["y"], "name": "a"}
+    assert config.load("other.json", [tmp_path], env={}) == {"limit": 1} and config.load("none", [], {"a": 1}, env={}) == {"a": 1}
+    with pytest.raises(FileNotFoundError):
+        config.load("none", [tmp_path])
+
+
+def test_safetensors(spark, tmp_path):
+    import json
+
+    x = np.arange(12, dtype="<f4").reshape(4, 3)
+    head = json.dumps({"w": {"dtype": "F32", "shape": [4, 3], "data_offsets": [0, 48]}, "b": {"dtype": "BF16", "shape": [1, 2], "data_offsets": [48, 52]}}).encode()
+    half = (np.array([1.5, -2.0], "<f4").view(np.uint32) >> 16).astype("<u2")
+    (tmp_path / "m.safetensors").write_bytes(len(head).to_bytes(8, "little") + head + x.tobytes() + half.tobytes())
+    got = files.safetensors(spark, f"file://{tmp_path}", "w").orderBy("row").collect()
+    assert [r["vector"] for r in got] == x.tolist()
+    assert files.safetensors(spark, f"file://{tmp_path}", "b").first()["vector"] == [1.5, -2.0]
+
+
+def test_providers(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "id int, text string")
+
+    def bad(texts):
+        raise TimeoutError
+
+    got = {r["id"]: (r["answer"], r["provider"]) for r in providers.answered(df, "text", {"bad": bad, "good": lambda t: [x.upper() for x in t]}).collect()}
+    assert got == {1: ("A B", "good"), 2: (None, None), 3: ("C", "good")}
+    assert {(r["answer"], r["provider"]) for r in providers.answered(df, "text", {"bad": bad}).collect()} == {(None, None)}
+    known = spark.createDataFrame([("c", [7.0])], "text string, embedding array<double>")
+    vectors_of = {r["id"]: r["embedding"] for r in providers.embedded(df, "text", lambda t: F.array(F.length(t).cast("double")), known).collect()}
+    assert vectors_of == {1: [3.0], 2: None, 3: [7.0]}
+    tasks = spark.createDataFrame([("a",), ("b",), ("c",), ("x",), ("y",)], "id string")
+    needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("x", "y"), ("y", "x"), ("a", "gone")], "id string, needed string")
+    assert sorted(map(tuple, providers.task_levels(tasks, needs).collect())) == [("a", 0), ("b", 1), ("c", 2)]
+    costs = spark.createDataFrame([("a", 2.0), ("b", 3.0), ("c", 1.0)], "id string, cost double")
+    assert {r["id"]: r["runs"] for r in providers.within_budget(costs, ["id"], "cost", 5.0).collect()} == {"a": True, "b": True, "c": False}
+    hooked = providers.hooked(df, [lambda d: d.filter("text is not null")], lambda d: d.withColumn("n", F.length("text")), [lambda d: d.filter("n > 1")])
+    assert [r["id"] for r in hooked.collect()] == [1]
+
+
+def test_stream_notifications(spark, sf, tmp_path):
+    sent = []
+    stream = streams.event_stream(spark, f"{sf}/events*.parquet").filter("event_type = 'error'")
+    streams.notify(stream, lambda batch: sent.extend(r["event_id"] for r in batch.collect()), f"file://{tmp_path}/c").awaitTermination()
+    assert sorted(sent) == sorted(r["event_id"] for r in spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'error'").collect())
