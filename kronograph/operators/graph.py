@@ -221,3 +221,8 @@ def random_walk(steps: DataFrame, seeds: DataFrame, length: int, seed: int = 0)
         now = written(choice.select("start", F.lit(k).cast("bigint").alias("position"), "id"), "walk")
         out = out.unionByName(now)
     return out
+
+
+def shuffled(nodes: DataFrame, seed: int, id_col: str = "id") -> DataFrame:
+    """Nodes in an order that a seed decides, the same at every run."""
+    return nodes.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)

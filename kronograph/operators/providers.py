@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from kronograph.operators.search import lexical_score
 from kronograph.sources.shared import Written, written
@@ -23,33 +25,34 @@ def answered(df: DataFrame, text_col: str, providers: dict[str, Provider], attem
 
     Null texts have no answer and are not sent.
     """
-    passed = [f for f in df.schema.fields if f.name not in ("answer", "provider", "tries")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in passed), f"answer {kind}", "provider string", "tries int"])
-    names = [f.name for f in passed]
+    passed = df.drop("answer", "provider", "tries")
+    schema = StructType([*passed.schema.fields, *StructType.fromDDL(f"answer {kind}, provider string, tries int").fields])
+    at = passed.columns.index(text_col)
 
     def run(batches):
-        for pdf in batches:
-            sent = pdf[text_col].notna()
-            texts = pdf.loc[sent, text_col].tolist()
-            found, who, tries = [None] * len(texts), None, 0
-            for name, provider in providers.items() if texts else ():
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            sent = [t for t in texts if t is not None]
+            found, who, tries = iter([None] * len(sent)), None, 0
+            for name, provider in providers.items() if sent else ():
                 for _ in range(attempts):
                     tries += 1
                     try:
-                        got = list(provider(texts))
+                        got = list(provider(sent))
                     except Exception:  # the provider's failure, whatever it is: try again, then the next one
                         continue
-                    if len(got) == len(texts):
-                        found, who = got, name
+                    if len(got) == len(sent):
+                        found, who = iter(got), name
                         break
                 if who is not None:
                     break
-            answers = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            for i, x in zip(pdf.index[sent], found):
-                answers.at[i] = x
-            yield pdf[names].assign(answer=answers, provider=pd.Series([who if s else None for s in sent], index=pdf.index, dtype=object), tries=tries)
+            answers = [None if t is None else next(found) for t in texts]
+            new = [pa.array(answers), pa.array([None if t is None else who for t in texts], pa.string()), pa.array([tries] * len(texts), pa.int32())]
+            if pa.types.is_null(new[0].type):
+                new[0] = new[0].cast(to_arrow_type(schema["answer"].dataType))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-    return df.select(*(F.col(f"`{n}`") for n in names)).mapInPandas(run, schema)
+    return passed.mapInArrow(run, schema)
 
 
 def embedded(df: DataFrame, text_col: str, embed: Callable[[Column], Column], known: DataFrame | None = None, name: str = "embedding") -> DataFrame:

@@ -10,7 +10,7 @@ from kronograph import config
 from kronograph.functions import code as C
 from kronograph.functions import vectors
 from kronograph.operators import events as E
-from kronograph.operators import extract, parser, providers, reconcile, temporal
+from kronograph.operators import extract, graph, parser, providers, reconcile, temporal
 from kronograph.operators.index import TextIndex
 from kronograph.operators.vector_index import VectorIndex
 from kronograph.sources import files
@@ -263,3 +263,16 @@ def test_stream_notifications(spark, sf, tmp_path):
     stream = streams.event_stream(spark, f"{sf}/events*.parquet").filter("event_type = 'error'")
     streams.notify(stream, lambda batch: sent.extend(r["event_id"] for r in batch.collect()), f"file://{tmp_path}/c").awaitTermination()
     assert sorted(sent) == sorted(r["event_id"] for r in spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'error'").collect())
+
+
+def test_random_walk_and_seeded_order(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d")]
+    edges = spark.createDataFrame([(f"e{k}", s, t, "R") for k, (s, t) in enumerate(pairs)], "id string, source_id string, target_id string, relationship string")
+    walk = graph.random_walk(graph.adjacency(edges, "out"), spark.createDataFrame([("a",), ("d",)], "id string"), 5, seed=3).collect()
+    by = {(r["start"], r["position"]): r["id"] for r in walk}
+    assert by["a", 0] == "a" and by["d", 0] == "d" and ("d", 1) not in by
+    for (start, k), node in by.items():
+        assert k == 0 or (by[start, k - 1], node) in pairs
+    nodes = spark.createDataFrame([(x,) for x in "abcdefgh"], "id string")
+    one, other = ([r["id"] for r in graph.shuffled(nodes.repartition(n), seed).collect()] for n, seed in ((3, 1), (2, 1)))
+    assert one == other and sorted(one) == list("abcdefgh") and one != [r["id"] for r in graph.shuffled(nodes, 2).collect()]
