@@ -89,11 +89,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _sums(data: bytes, size: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(prefix sums, inverse powers) of symbols of that many bytes: the hash of symbols i to j is (sums[j] - sums[i]) * inverse[i]."""
+    global _last
+    if size == 1 and data is _last[0]:
+        return _last[1]
     x = np.frombuffer(data, np.uint8).astype(_U) + _U(1) if size == 1 else np.frombuffer(data, _U).copy()
     up, down = _powers.get(len(x) + 1)
     x *= up[:-1]
-    return np.concatenate([np.zeros(1, _U), np.cumsum(x)]), down
+    out = np.concatenate([np.zeros(1, _U), np.cumsum(x)]), down
+    if size == 1:
+        _last = data, out
+    return out
+
 
+#: The bytes that were summed last, and their sums: bytes and words of a text need the same ones.
+_last: tuple = (None, None)
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -115,10 +124,19 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))
 
 
-def symbols(text: str, unit: str) -> tuple[bytes, int]:
-    """(symbols of a text as bytes, bytes of a symbol)."""
-    data = text.encode()
-    return (data, 1) if unit == "bytes" else (words_of(data)[2].tobytes(), 8)
+class Unit:
+    """Windows of bytes (code 0) or words (code 1); the code is the last bit of an anchor's hash."""
+
+    def __init__(self, name: str, window: int):
+        self.code, self.size, self.gram = {"bytes": (0, 1, GRAM), "words": (1, 8, WORD_GRAM)}[name]
+        if not self.gram < window < 8000:
+            raise ValueError(f"a window has over {self.gram} and under 8000 {name}")
+        self.window, self.width = window, max(1, (window - self.gram) // SLICES)
+        #: Bytes that a text with a window has at least.
+        self.least = window if name == "bytes" else 2 * window - 1
+
+    def symbols(self, data: bytes) -> bytes:
+        return words_of(data)[2].tobytes() if self.code else data
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -145,7 +163,8 @@ def anchors(data: bytes, window: int = WINDOW, gram: int = GRAM, size: int = 1):
         lo, hi = np.concatenate([[0], border]), np.concatenate([border, [len(best)]])
         a = best[lo]
         context = _mix((sums[hi - 1 + window] - sums[lo]) * down[lo] + (a - lo).astype(_U) * _U(0xD6E8FEB86659FD93) + (hi - lo).astype(_U))
-        parts.append((a + at, lo + at, hi + at, grams[a].view(np.int64), context.view(np.int64)))
+        hashed = grams[a] & ~_U(1) | _U(size > 1)
+        parts.append((a + at, lo + at, hi + at, hashed.view(np.int64), context.view(np.int64)))
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
 
 
@@ -300,9 +319,9 @@ def _of_group(group: list[tuple[int, Suffix]], window: int, size: int = 1):
             yield s.anchor, s.context, -int(offset[part[0]]), window - int(offset[part[-1]])
 
 
-def slices(s: Suffix, window: int, width: int, size: int = 1):
+def slices(s: Suffix, unit: Unit):
     """A context cut by offsets, each with a key made of the symbols that all its windows share."""
-    whole, a = s.left + s.right, len(s.left)
+    whole, a, size, width, window = s.left + s.right, len(s.left), unit.size, unit.width, unit.window
     for j in range(s.near // width, s.far // width + 1):
         near, far = max(s.near, j * width), min(s.far, (j + 1) * width - 1)
         core = whole[max(0, a - j * width * size) : a + (window - (j + 1) * width + 1) * size]
@@ -312,17 +331,21 @@ def slices(s: Suffix, window: int, width: int, size: int = 1):
 # -- the operator ----------------------------------------------------------------
 
 
-def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unit: str = "bytes") -> DataFrame:
-    """(hashed, whole, ranges): for each text with repeated symbols, by its xxhash64, whether all of it or which ranges of bytes or words are repeated."""
-    gram = GRAM if unit == "bytes" else WORD_GRAM
-    if not gram < window < 8000:
-        raise ValueError(f"a window has over {gram} and under 8000 {unit}")
+def covered(docs: DataFrame, text_col: str, windows: dict[str, int]) -> DataFrame:
+    """(hashed, unit, whole, ranges): for each text with repeated symbols, by its xxhash64, whether all of it or which ranges are repeated.
+
+    windows: symbols of a window of "bytes" (unit 0), of "words" (unit 1) or both;
+    both go through the same passes.
+    """
+    units = {u.code: u for u in (Unit(name, n) for name, n in windows.items())}
     docs = docs.select(F.col(f"`{text_col}`").alias("text")).filter("text is not null and text <> ''").withColumn("hashed", F.xxhash64("text"))
     spark = docs.sparkSession
     ship(spark)
     partitions = shuffle_partitions(spark)
-    least = window if unit == "bytes" else 2 * window - 1  # bytes that a text with a window has
-    copies = docs.filter(F.octet_length("text") >= least).groupBy("hashed").agg(F.count("*").alias("c")).filter("c > 1").select("hashed")
+    shortest = min(u.least for u in units.values())
+    copies = docs.select("hashed", F.octet_length("text").alias("n")).filter(F.col("n") >= shortest).groupBy("hashed").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter("c > 1")
+    fits = F.filter(F.array(*(F.struct(F.lit(u.code).alias("unit"), F.lit(u.least).alias("least")) for u in units.values())), lambda u: F.col("n") >= u["least"])
+    copies = copies.select("hashed", F.explode(fits).alias("u")).select("hashed", "u.unit")
     schema = "hashed bigint, a int, lo int, hi int, anchor bigint, context bigint"
 
     def places(batches):
@@ -334,10 +357,12 @@ def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unit:
                     if key in seen:
                         continue  # copies are found by their hashes
                     seen.add(key)
-                    data, size = symbols(text, unit)
-                    if len(data) >= window * size:
-                        found = anchors(data, window, gram, size)
-                        out.append([np.full(len(found[0]), key), *found])
+                    raw = text.encode()
+                    for u in units.values():
+                        data = u.symbols(raw) if len(raw) >= u.least else b""
+                        if len(data) >= u.window * u.size:
+                            found = anchors(data, u.window, u.gram, u.size)
+                            out.append([np.full(len(found[0]), key), *found])
                 if len(seen) > 500_000:
                     seen.clear()
                 if out:
@@ -363,7 +388,6 @@ def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unit:
     wanted = wanted.groupBy("hashed").agg(F.collect_list(F.struct("a", "lo", "hi", "anchor", "context", "whole", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
     texts = docs.join(wanted, "hashed").select("hashed", "text", "wanted")
 
-    width = max(1, (window - gram) // SLICES)
     names = "anchor", "context", "start", "stop"
     match_schema = "anchor bigint, context bigint, start int, stop int"
     run_schema = "bucket bigint, run binary, told binary"
@@ -397,7 +421,7 @@ def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unit:
             for s in (first, one):
                 if not s.whole:
                     s.whole = 1
-                    told.append((s.anchor, s.context, -s.far, window - s.near))
+                    told.append((s.anchor, s.context, -s.far, units[s.anchor & 1].window - s.near))
             return False
 
         for batch in batches:
@@ -406,13 +430,16 @@ def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unit:
                     if key in seen:
                         continue  # another copy of the text
                     seen.add(key)
-                    data, size = symbols(text, unit)
+                    raw, data = text.encode(), {}
                     for p in places:
-                        a, lo, hi = p["a"], p["lo"], p["hi"]
-                        s = Suffix(data[a * size : (hi - 1 + window) * size], data[lo * size : a * size], a - hi + 1, a - lo, p["anchor"], p["context"], int(p["whole"]))
-                        for name, one in slices(s, window, width, size) if p["large"] else [(s.anchor, s)]:
+                        a, lo, hi, u = p["a"], p["lo"], p["hi"], units[p["anchor"] & 1]
+                        if u.code not in data:
+                            data[u.code] = u.symbols(raw)
+                        right, left = data[u.code][a * u.size : (hi - 1 + u.window) * u.size], data[u.code][lo * u.size : a * u.size]
+                        s = Suffix(right, left, a - hi + 1, a - lo, p["anchor"], p["context"], int(p["whole"]))
+                        for name, one in slices(s, u) if p["large"] else [(s.anchor >> 1, s)]:
                             if not p["large"] or alone(name, one):
-                                by.setdefault(name % buckets, []).append(one)
+                                by.setdefault(2 * (name % buckets) + u.code, []).append(one)  # a bucket is of one unit
                                 held += len(one.right) + len(one.left) + 200
                     if held > RUN_BYTES or len(told) > 200_000:
                         yield from put_out()
@@ -428,13 +455,14 @@ def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unit:
                     yield table(match_schema, {c: np.ascontiguousarray(rows[:, k]) for k, c in enumerate(names)})
                     continue
                 if bucket != at:
-                    yield from merge(held)
+                    yield from merge(at, held)
                     at, held = bucket, []
                 held.append(run)
-        yield from merge(held)
+        yield from merge(at, held)
 
-    def merge(held):
-        rows = list(matches(merged(held), window, gram, 1 if unit == "bytes" else 8)) if held else []
+    def merge(at, held):
+        u = units[at & 1] if held else None
+        rows = list(matches(merged(held), u.window, u.gram, u.size)) if held else []
         if rows:
             yield table(match_schema, dict(zip(names, zip(*rows))))
 
@@ -442,11 +470,13 @@ def covered(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unit:
     partial = Written(dealt.mapInArrow(found, match_schema), "matches")
     free_shuffles(spark)
     whole = each.read().filter("whole").select("anchor", "context")
-    ranges = some.read().join(whole, ["anchor", "context"]).select("hashed", F.col("lo").alias("start"), (F.col("hi") - 1 + window).alias("stop"))
-    ranges = ranges.unionByName(some.read().join(partial.read(), ["anchor", "context"]).select("hashed", (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("stop")).alias("stop")))
-    ranges = ranges.distinct().groupBy("hashed").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    out = copies.withColumn("whole", F.lit(True)).join(ranges, "hashed", "full")
-    made = Written(out.select("hashed", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges"), "covered")
+    unit = F.col("anchor").bitwiseAND(1).cast("int").alias("unit")
+    reach = F.element_at(F.create_map(*(F.lit(x) for u in units.values() for x in (u.code, u.window))), F.col("anchor").bitwiseAND(1).cast("int"))
+    ranges = some.read().join(whole, ["anchor", "context"]).select("hashed", unit, F.col("lo").alias("start"), (F.col("hi") - 1 + reach).alias("stop"))
+    ranges = ranges.unionByName(some.read().join(partial.read(), ["anchor", "context"]).select("hashed", unit, (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("stop")).alias("stop")))
+    ranges = ranges.distinct().groupBy("hashed", "unit").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    out = copies.withColumn("whole", F.lit(True)).join(ranges, ["hashed", "unit"], "full")
+    made = Written(out.select("hashed", "unit", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges"), "covered")
     for done in (some, each, partial, large):
         done.drop()
     free_shuffles(spark)
@@ -491,8 +521,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     what the row's text is without them.
     """
     docs = clean_names(docs, doc_id=id_col, text=text_col)
-    marks = covered(docs, "text", window).select("hashed", F.struct("whole", "ranges").alias("by_bytes"))
-    marks = marks.join(covered(docs, "text", passage, "words").select("hashed", F.struct("whole", "ranges").alias("by_words")), "hashed", "full")
+    of = lambda unit: F.first(F.when(F.col("unit") == unit, F.struct("whole", "ranges")), ignorenulls=True)
+    marks = covered(docs, "text", {"bytes": window, "words": passage}).groupBy("hashed").agg(of(0).alias("by_bytes"), of(1).alias("by_words"))
     joined = docs.withColumn("hashed", F.xxhash64("text")).join(marks, "hashed", "left").select("doc_id", "text", "by_bytes", "by_words")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint, text string"
 
@@ -516,7 +546,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unit: str = "bytes") -> DataFrame:
     """docs with repeated passages cut out of the text; a character that is cut in two goes as a whole. All columns are kept."""
-    marks = covered(docs, text_col, window, unit)
+    marks = covered(docs, text_col, {unit: window})
     kept = list(docs.columns)
     key, mark = fresh(docs, "hashed"), fresh(docs, "marks")
     marks = marks.select(F.col("hashed").alias(key), F.struct("whole", "ranges").alias(mark))
