@@ -93,11 +93,22 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(names, F.col("p_size")), F.lit("Entity")).alias("entity_type"))
 
 
-@query("merged_entities")
+_SAME = "CASE WHEN x.name = n.name THEN 1.0::DOUBLE ELSE 1 - levenshtein(x.name, n.name) / CAST(greatest(strlen(x.name), strlen(n.name)) AS DOUBLE) END"
+_SCORE = f"0.5::DOUBLE * ({_SAME}) + 0.2::DOUBLE * (CASE WHEN x.type = n.type THEN 1 ELSE 0 END) + 0.3::DOUBLE * ({_SAME})"
+
+
+@query(
+    "merged_entities",
+    f"""WITH RECURSIVE f AS (SELECT lower(p_name) AS name, p_type AS type, min('P:'||p_partkey) AS id FROM part GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM f),
+ r AS (SELECT 0::BIGINT AS k, CAST([] AS STRUCT(id VARCHAR, name VARCHAR, type VARCHAR)[]) AS lead, '' AS id, '' AS leader
+ UNION ALL SELECT k, CASE WHEN len(hit) = 0 THEN list_append(lead, {{'id': id, 'name': name, 'type': type}}) ELSE lead END, id, CASE WHEN len(hit) = 0 THEN id ELSE hit[1].id END FROM (SELECT n.k, n.id, n.name, n.type, r.lead, list_filter(r.lead, lambda x: {_SCORE} > 0.75::DOUBLE) AS hit FROM r JOIN n ON n.k = r.k + 1)),
+ own AS (SELECT 'P:'||p_partkey AS id, r.leader, p_size / 50.0::DOUBLE AS c FROM part JOIN f ON lower(p_name) = f.name AND p_type = f.type JOIN r ON r.id = f.id)
+ SELECT own.id, own.leader, t.type AS entity_type, round(least(1, avg(c) OVER (PARTITION BY own.leader)), 6) AS confidence FROM own JOIN f t ON t.id = own.leader""",
+)
 def _(spark, d):
     """Parts under the full score of names and types; the confidence is made of the size."""
     p = table(spark, d, "part").select(F.concat(F.lit("P:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), (F.col("p_size") / 50).alias("confidence"))
-    return extract.merged_entities(p, "id", "name", "type", "confidence")
+    return extract.merged_entities(p, "id", "name", "type", "confidence").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("span_dedup")
