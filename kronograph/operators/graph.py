@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from kronograph.functions.text import place
 from kronograph.sources.shared import Written, written
 
 
@@ -217,7 +218,7 @@ def random_walk(steps: DataFrame, seeds: DataFrame, length: int, seed: int = 0)
     now = seeds.select(F.col("id").alias("start"), F.lit(0).cast("bigint").alias("position"), "id")
     out = now = written(now, "walk")
     for k in range(1, length + 1):
-        choice = now.join(steps, now["id"] == steps["node"]).groupBy("start").agg(F.min_by("next", F.struct(F.xxhash64("start", "next", "via", F.lit(seed + k)), "next")).alias("id"))
+        choice = now.join(steps, now["id"] == steps["node"]).groupBy("start").agg(F.min_by("next", F.struct(place(F.concat_ws(":", "start", "next", "via", F.lit(seed + k))), "next")).alias("id"))
         now = written(choice.select("start", F.lit(k).cast("bigint").alias("position"), "id"), "walk")
         out = out.unionByName(now)
     return out

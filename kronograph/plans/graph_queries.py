@@ -156,7 +156,18 @@ def _(spark, d):
     return graph.louvain(trade(spark, d), rounds=6, levels=2)
 
 
-@query("random_walk")
+_TURN = "CAST('0x'||substr(md5(start||':'||target_id||':'||e.id||':'||(position + 1)), 1, 15) AS BIGINT)"
+
+
+@query(
+    "random_walk",
+    f"""steps AS (SELECT * FROM edges WHERE relationship IN ('IN_REGION', 'IN_NATION')),
+ w0 AS (SELECT id AS start, 0::BIGINT AS position, id FROM entities WHERE entity_type = 'Supplier'),
+ w1 AS (SELECT start, 1::BIGINT AS position, arg_min(target_id, ({_TURN}, target_id)) AS id FROM w0 JOIN steps e ON e.source_id = w0.id GROUP BY start),
+ w2 AS (SELECT start, 2::BIGINT AS position, arg_min(target_id, ({_TURN}, target_id)) AS id FROM w1 JOIN steps e ON e.source_id = w1.id GROUP BY start)
+ SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2""".replace("steps AS", "WITH steps AS", 1),
+    "entities edges",
+)
 def _(spark, d):
     return graph.random_walk(graph.adjacency(places(spark, d), "out"), entities(spark, d).filter("entity_type = 'Supplier'"), 2)
 
