@@ -373,12 +373,14 @@ def covered(docs: DataFrame, text_col: str, windows: dict[str, int]) -> DataFram
     place = F.struct("hashed", "a")
     repeated = every.read().groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.min("context").alias("c"), F.max("context").alias("d")).filter("x <> y")
     repeated = Written(repeated.select("anchor", (F.col("c") != F.col("d")).alias("mixed")), "repeated")
+    free_shuffles(spark)
     some = Written(every.read().join(repeated.read(), "anchor"), "places")
     every.drop()
     free_shuffles(spark)
     each = some.read().groupBy("anchor", "context", "mixed").agg(F.min(F.struct("hashed", "a", "lo", "hi")).alias("x"), F.max(F.struct("hashed", "a", "lo", "hi")).alias("y"))
     each = Written(each.select("anchor", "context", "mixed", (F.col("x") != F.col("y")).alias("whole"), "x.*"), "contexts")
     repeated.drop()
+    free_shuffles(spark)
     # what is compared: one representative of each context of an anchor that has several
     sizes = each.read().filter("mixed").groupBy("anchor").agg(F.count("*").alias("n"))
     large = Written(sizes.filter(F.col("n") > SPLIT).select("anchor", F.lit(True).alias("large")), "large")
@@ -386,7 +388,21 @@ def covered(docs: DataFrame, text_col: str, windows: dict[str, int]) -> DataFram
     buckets = max(1, -(-n // BUCKET))
     wanted = each.read().filter("mixed").join(large.read(), "anchor", "left")
     wanted = wanted.groupBy("hashed").agg(F.collect_list(F.struct("a", "lo", "hi", "anchor", "context", "whole", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
-    texts = docs.join(wanted, "hashed").select("hashed", "text", "wanted")
+
+    def firsts(batches):
+        """One row of each text that a task has: a large group of copies isn't brought together."""
+        seen = set()
+        for batch in batches:
+            keys = batch.column(1).to_pylist()
+            fresh_ones = []
+            for key in keys:
+                fresh_ones.append(key not in seen)
+                seen.add(key)
+            if len(seen) > 500_000:
+                seen.clear()
+            yield batch.filter(pa.array(fresh_ones, pa.bool_()))
+
+    texts = docs.mapInArrow(firsts, docs.schema).join(wanted, "hashed").select("hashed", "text", "wanted")
 
     names = "anchor", "context", "start", "stop"
     match_schema = "anchor bigint, context bigint, start int, stop int"
