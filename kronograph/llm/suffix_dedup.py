@@ -539,6 +539,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     docs = clean_names(docs, doc_id=id_col, text=text_col)
     of = lambda unit: F.first(F.when(F.col("unit") == unit, F.struct("whole", "ranges")), ignorenulls=True)
     marks = covered(docs, "text", {"bytes": window, "words": passage}).groupBy("hashed").agg(of(0).alias("by_bytes"), of(1).alias("by_words"))
+    marks = Written(marks, "marks").read()  # a plain join with it is split where a group of copies is large
     joined = docs.withColumn("hashed", F.xxhash64("text")).join(marks, "hashed", "left").select("doc_id", "text", "by_bytes", "by_words")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint, text string"
 
