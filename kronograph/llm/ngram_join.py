@@ -43,8 +43,8 @@ from kronograph.llm.common import Written, clean_names, cut, empty, free_shuffle
 from kronograph.operators.components import connected_components
 
 WORDS, PERCENT = 5, 75
-#: Counters of the corpus sketch (4 bytes each), in SKETCH_ROWS rows; members of a block that are compared at once; members of a leaf.
-SKETCH, SKETCH_ROWS, BLOCK, LEAF = 1 << 18, 64, 512, 16
+#: Counters of the corpus sketch (4 bytes each), in SKETCH_ROWS rows; members of a block that are compared at once; members of a leaf, for bitmaps alone and where whole sets follow.
+SKETCH, SKETCH_ROWS, BLOCK, LEAF, SET_LEAF = 1 << 18, 64, 512, 1, 16
 #: Bits of a shingle that find its holders; two shingles alike in them only make a block larger.
 KEY_BITS = np.uint64(2**48 - 1)
 _SHIFT = np.uint64(64 - SKETCH.bit_length() + 1)
@@ -140,6 +140,8 @@ def folded(maps: list[bytes]) -> np.ndarray:
 class Tree:
     """Members of a block under a signature tree; pairs that bitmaps and sizes can't exclude go to close()."""
 
+    leaf = LEAF
+
     def __init__(self, ids: list[int], sizes: np.ndarray, maps: list[bytes], percent: int = PERCENT):
         order = np.lexsort((ids, sizes))
         self.order, self.percent = order.tolist(), percent
@@ -175,7 +177,7 @@ class Tree:
             x, y = stack.pop()
             if self.settled(x, y) or x != y and not self.possible(x, y):
                 continue
-            if max(x[1] - x[0], y[1] - y[0]) <= LEAF:
+            if max(x[1] - x[0], y[1] - y[0]) <= self.leaf:
                 a, b = self.maps[x[0] : x[1]], self.maps[y[0] : y[1]]
                 n, m = self.sizes[x[0] : x[1], None], self.sizes[None, y[0] : y[1]]
                 most = np.bitwise_count(a[:, None] & b[None]).sum(2) + np.minimum(self.excess[x[0] : x[1], None], self.excess[None, y[0] : y[1]])
@@ -215,6 +217,8 @@ class Candidates(Tree):
 class Block(Tree):
     """Members with their whole sets, and which of them are known to be connected."""
 
+    leaf = SET_LEAF
+
     def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int = PERCENT):
         super().__init__(ids, np.array([len(s) for s in sets]), [bitmap(s) for s in sets], percent)
         self.sets = [sets[i] for i in self.order]
