@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,22 +25,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Written:
-    """A table written to the shared folder; drop() deletes it, else it goes when the driver ends."""
+    """A table written to the shared folder; drop() deletes it, else it goes when the driver ends.
+
+    write(path) does the writing where df is a stream.
+    """
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, write: Callable[[str], None] | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/kronograph-{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.parquet(self.path)
         atexit.register(self._quietly)
+        (write or df.write.parquet)(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)
 
     def drop(self) -> None:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(self.spark, self.path)
 
     def _quietly(self) -> None:
         try:

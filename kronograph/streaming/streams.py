@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -10,12 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kronograph.sources.shared import Written, remove
+
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """Events from Parquet files that arrive in a folder (Z7); the schema is given, the rate limited."""
-    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder).withColumn("at", F.col("ts").cast("timestamp"))
+#: State lies on the executors' disks, and what is cached of it is bounded for each executor.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
+
+
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """Events from Parquet files that arrive in a folder (Z7); the schema is given, the rate limited.
+
+    None takes all files that are there at once: the files of a table that is
+    read again aren't in the order of time, and no row is late for its file.
+    """
+    source = spark.readStream.schema(EVENT_SCHEMA)
+    source = source.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else source
+    return source.parquet(folder).withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -101,11 +114,32 @@ def matched(left: DataFrame, right: DataFrame, seconds: int, late: str = "1 day"
     return a.join(b, (F.col("user_id") == F.col("user")) & (F.col("b") >= F.col("a")) & (F.col("b") <= F.col("a") + span)).select("event_id", "other")
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Streams started within keep their state by STATE, but for what the session sets itself; a stream copies its session's settings as it starts."""
+    mine = {k: v for k, v in STATE.items() if spark.conf.get(k, None) is None}
+    for k, v in mine.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in mine:
+            spark.conf.unset(k)
+
+
 def run_available(out: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process all that has arrived, into a table in memory; for tests and small results."""
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return out.sparkSession.table(name)
+    """Process all that has arrived, into a Parquet table in the shared folder; no row passes through the driver."""
+    spark = out.sparkSession
+
+    def write(path: str) -> None:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # is there even if no batch comes
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+        with state_on_disk(spark):
+            q = ingest(out, path, checkpoint, mode=mode)
+        q.awaitTermination()
+        remove(spark, checkpoint)
+
+    return Written(out, name, write).read()
 
 
 def notify(events: DataFrame, send: Callable[[DataFrame], None], checkpoint: str, every: str | None = None):
@@ -119,10 +153,13 @@ def notify(events: DataFrame, send: Callable[[DataFrame], None], checkpoint: str
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
-def ingest(events: DataFrame, target: str, checkpoint: str, before: Callable[[DataFrame], DataFrame] | None = None):
-    """Append micro-batches to a Parquet table, once each (Z7): the batch id is part of the path, so a repeated batch overwrites itself."""
+def ingest(events: DataFrame, target: str, checkpoint: str, before: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append"):
+    """Append micro-batches to a Parquet table, once each (Z7): the batch id is part of the path, so a repeated batch overwrites itself.
+
+    In complete mode each micro-batch holds the whole result, and overwrites the one before.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (before(batch) if before else batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        (before(batch) if before else batch).write.mode("overwrite").parquet(f"{target}/batch={'all' if mode == 'complete' else batch_id}")
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
