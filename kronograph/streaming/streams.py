@@ -99,7 +99,7 @@ def cooldown(events: DataFrame, seconds: float = 30.0, late: str = "1 day") -> D
         state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"user_id": [key[0]] * len(taken), "event_id": taken})
 
-    watched = events.withWatermark("at", late)
+    watched = events.withWatermark("at", late).select("user_id", "event_id", "ts", "at")
     return watched.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 

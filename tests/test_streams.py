@@ -28,7 +28,7 @@ def held(spark, dealt, sf, name):
     assert rows(ours.toPandas()) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", ["stream_ingest", "stream_sessions", "stream_tumbling", "stream_novelty", "stream_join"])
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_cooldown", "stream_sessions", "stream_tumbling", "stream_novelty", "stream_join"])
 def test_streams_of_several_files(spark, dealt, sf, name):
     held(spark, dealt, sf, name)
 
