@@ -5,8 +5,9 @@ than a sequence is cut into full pieces and a rest. Documents are dealt at
 random (by their place in the input, never by a column, so that no key can make
 a group large) into groups of about GROUP_DOCS; within each group the pieces go,
 longest first, each to the first bin with room. A tournament tree over the
-bins' free space finds that bin in logarithmic time. Only piece lengths and
-checksums are shuffled, not ids.
+bins' free space finds that bin in logarithmic time. A full piece is a sequence
+of its own. The ids move with their pieces: sequences() gives the packed ids,
+padded, and pack() reads the pieces back from them.
 
 The tokens come from a library that merges by the ranks of the tokenizer file;
 where the file's ids don't follow its merges, from the tokenizers library.
@@ -19,19 +20,24 @@ start. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from kronograph.llm import bpe
-from kronograph.llm.common import clean_names, cut, ship, table
+from kronograph.llm.common import OUT_BYTES, clean_names, cut, ship, table
 
 #: Tokens of a sequence, the separator's id, and documents of a group.
 SEQUENCE, SEPARATOR, GROUP_DOCS = 2048, 1, 2048
 
+#: Fills a sequence after its last piece; the sequence's length tells it from ids of texts.
+PADDING = 0
+
 
 class BinTree:
     """Tournament tree: each node holds the largest free space of the bins below it."""
@@ -90,37 +96,103 @@ def tokens(path: str):
     return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, separator: int = SEPARATOR, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def laid_out(t: pa.Table, at: np.ndarray, sequence: int, padding: int) -> Iterator[pa.RecordBatch]:
+    """Sequences of pieces that are in the order of their sequences' ids and their place there; at: the sequence's id of each."""
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    step = max(1, OUT_BYTES // (4 * sequence))
+    for k in range(0, len(first), step):
+        heads = first[k : k + step]
+        lo, hi = heads[0], first[k + step] if k + step < len(first) else len(at)
+        part, heads = t.slice(lo, hi - lo).combine_chunks(), heads - lo
+        ids = np.frombuffer(b"".join(part["ids"].to_pylist()), "<u4")
+        lengths = pc.binary_length(part["ids"]).to_numpy().astype(np.int64) // 4
+        used = np.add.reduceat(lengths, heads)
+        width = np.where(used & (used - 1) == 0, used, sequence)
+        ends = np.cumsum(width)
+        padded = np.full(ends[-1], padding, np.int32)
+        padded[np.repeat(ends - width - np.cumsum(used) + used, used) + np.arange(len(ids))] = ids
+        bounds = pa.array(np.append(heads, hi - lo), pa.int32())
+        each = {to: pa.ListArray.from_arrays(bounds, part[c].combine_chunks()) for to, c in (("doc_ids", "doc_id"), ("starts", "start"), ("doc_tokens", "doc_tokens"))}
+        each |= {"lengths": pa.ListArray.from_arrays(bounds, pa.array(lengths)), "ids": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(padded))}
+        yield table(SEQUENCES, each | {"sequence_id": pa.array(at[lo:hi][heads]), "length": pa.array(used)})
+
+
+#: A packed sequence: its ids with padding, how many of them are no padding, and its pieces in order.
+SEQUENCES = "sequence_id bigint, length bigint, ids array<int>, doc_ids array<bigint>, starts array<bigint>, lengths array<bigint>, doc_tokens array<bigint>"
+
+
+def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, separator: int = SEPARATOR, group_docs: int = GROUP_DOCS, padding: int = PADDING) -> DataFrame:
+    """One row per packed sequence (SEQUENCES). ids are padded to the full length, except where their number is a power of two.
 
     sequence_id is unique over all groups: the group's number times 2**32, plus
-    the bin. The number of groups follows the number of rows.
+    the bin; full pieces count on from the number of groups, by the task that
+    cut them. The number of groups follows the number of rows.
     """
     docs = clean_names(docs, doc_id=id_col, text=text_col)
     ship(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
-    pieces_schema = "grp bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+    pieces_schema = "grp bigint, sequence_id bigint, doc_id bigint, start bigint, doc_tokens bigint, ids binary"
 
     def pieces(batches):
-        encode, rows = tokens(tokenizer), 0
-        dealt = np.random.default_rng(TaskContext.get().partitionId())
+        encode, task, full = tokens(tokenizer), TaskContext.get().partitionId(), 0
+        dealt = np.random.default_rng(task)
+        names = ("grp", "sequence_id", "doc_id", "start", "doc_tokens", "ids")
         for batch in batches:
             for part in cut(batch, ["text"]):
-                out = []
+                out, size = [], 0
                 at = dealt.integers(0, groups, part.num_rows).tolist()
                 for group, doc_id, text in zip(at, part.column(0).to_pylist(), part.column(1).to_pylist()):
                     ids = np.append(np.asarray(encode(text), np.dtype("<u4")), np.array([separator], "<u4")) if text else np.array([separator], "<u4")
-                    for start in range(0, len(ids), sequence):
+                    for k, start in enumerate(range(0, len(ids), sequence)):
                         piece = ids[start : start + sequence]
-                        out.append((group, doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-                rows += part.num_rows
-                yield table(pieces_schema, dict(zip(("grp", "doc_id", "start", "length", "ids_crc32", "doc_tokens"), zip(*out))))
+                        own = None
+                        if len(piece) == sequence:
+                            own, full = ((groups + task) << 32) + full, full + 1
+                        # a long document's pieces go to one group after the other
+                        out.append(((group + k) % groups, own, doc_id, start, len(ids), piece.tobytes()))
+                        size += 4 * len(piece)
+                        if size > OUT_BYTES:
+                            yield table(pieces_schema, dict(zip(names, zip(*out))))
+                            out, size = [], 0
+                if out:
+                    yield table(pieces_schema, dict(zip(names, zip(*out))))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rests = []
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            full = t.filter(pc.is_valid(t["sequence_id"]))
+            if full.num_rows:
+                yield from laid_out(full, full["sequence_id"].to_numpy(), sequence, padding)
+            rests.append(t.filter(pc.is_null(t["sequence_id"])))
+        t = pa.concat_tables(rests)
+        if t.num_rows:
+            t = t.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
+            bins, offsets = first_fit_decreasing(pc.binary_length(t["ids"]).to_numpy().astype(np.int64) // 4, sequence)
+            order = np.lexsort((offsets, bins))
+            yield from laid_out(t.take(order), (t["grp"].to_numpy() << 32) + bins[order], sequence, padding)
+
+    return docs.mapInArrow(pieces, pieces_schema).groupBy("grp").applyInArrow(packed, SEQUENCES)
+
 
-    def packed(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        bins, offsets = first_fit_decreasing(t["length"].to_numpy(), sequence)
-        t = t.append_column("sequence_id", pa.array((t["grp"].to_numpy() << 32) + bins)).append_column("offset", pa.array(offsets))
-        return t.drop_columns(["grp"])
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, separator: int = SEPARATOR, group_docs: int = GROUP_DOCS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; read back from the packed sequences."""
+    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
-    return docs.mapInArrow(pieces, pieces_schema).groupBy("grp").applyInArrow(packed, schema)
+    def read_back(batches):
+        for batch in batches:
+            for part in cut(batch, ["ids"]):
+                c = {f.name: part.column(i) for i, f in enumerate(part.schema)}
+                ids = c["ids"].flatten().to_numpy().astype("<u4")
+                lengths = c["lengths"].flatten().to_numpy()
+                pieces = pc.list_value_length(c["lengths"]).to_numpy()
+                offsets = np.cumsum(lengths) - lengths
+                heads = np.cumsum(pieces) - pieces
+                offsets -= np.repeat(offsets[heads], pieces)
+                width = pc.list_value_length(c["ids"]).to_numpy().astype(np.int64)
+                at = np.repeat(np.cumsum(width) - width, pieces) + offsets
+                crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(at.tolist(), lengths.tolist())]
+                each = {to: c[f].flatten() for to, f in (("doc_id", "doc_ids"), ("start", "starts"), ("length", "lengths"), ("doc_tokens", "doc_tokens"))}
+                yield table(schema, each | {"ids_crc32": crc, "sequence_id": pa.array(np.repeat(c["sequence_id"].to_numpy(), pieces)), "offset": pa.array(offsets)})
+
+    return sequences(docs, tokenizer, id_col, text_col, sequence, separator, group_docs).mapInArrow(read_back, schema)

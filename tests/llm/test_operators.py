@@ -90,6 +90,29 @@ def test_packing(docs, none, texts):
     assert packing.pack(none, PATH).count() == 0
 
 
+@pytest.mark.parametrize("sequence", [64, 100])
+def test_packed_sequences_hold_all_ids(docs, none, texts, sequence):
+    rows = packing.sequences(docs, PATH, sequence=sequence, group_docs=4, padding=7).collect()
+    lib, found, exact = library(), {}, 0
+    assert len({r["sequence_id"] for r in rows}) == len(rows)
+    for r in rows:
+        n = r["length"]
+        exact += n & (n - 1) == 0
+        assert sum(r["lengths"]) == n and len(r["ids"]) == (n if n & (n - 1) == 0 else sequence) and set(r["ids"][n:]) <= {7}
+        at = 0
+        for doc, start, length, total in zip(r["doc_ids"], r["starts"], r["lengths"], r["doc_tokens"]):
+            found.setdefault(str(doc), []).append((start, total, r["ids"][at : at + length]))
+            at += length
+    want = {}
+    for i, t in texts:
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [1]
+        want.setdefault(str(i), []).extend((s, len(ids), ids[s : s + sequence]) for s in range(0, len(ids), sequence))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+    assert packing.sequences(none, PATH).count() == 0
+    if sequence == 64:
+        assert exact
+
+
 def test_first_fit_decreasing():
     rnd = np.random.default_rng(0)
     lengths = rnd.integers(1, 101, 300)
