@@ -115,9 +115,9 @@ def matched(left: DataFrame, right: DataFrame, seconds: int, late: str = "1 day"
 
 
 @contextmanager
-def state_on_disk(spark: SparkSession):
-    """Streams started within keep their state by STATE, but for what the session sets itself; a stream copies its session's settings as it starts."""
-    mine = {k: v for k, v in STATE.items() if spark.conf.get(k, None) is None}
+def started_with(spark: SparkSession, settings: dict[str, str]):
+    """Streams started within have these settings, but for what the session sets itself; a stream copies its session's settings as it starts."""
+    mine = {k: v for k, v in settings.items() if spark.conf.get(k, None) is None}
     for k, v in mine.items():
         spark.conf.set(k, v)
     try:
@@ -127,14 +127,19 @@ def state_on_disk(spark: SparkSession):
             spark.conf.unset(k)
 
 
-def run_available(out: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process all that has arrived, into a Parquet table in the shared folder; no row passes through the driver."""
+def run_available(out: DataFrame, name: str, mode: str, checkpoint: str, expire: bool = True) -> DataFrame:
+    """Process all that has arrived, into a Parquet table in the shared folder; no row passes through the driver.
+
+    expire: a last batch without data drops the state that the watermark has
+    passed, and appends windows that it has closed. Only what appends windows
+    needs it: the state goes with the run.
+    """
     spark = out.sparkSession
 
     def write(path: str) -> None:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # is there even if no batch comes
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-        with state_on_disk(spark):
+        with started_with(spark, STATE if expire else STATE | {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
             q = ingest(out, path, checkpoint, mode=mode)
         q.awaitTermination()
         remove(spark, checkpoint)
