@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kronograph.llm.common import Written, clean_names, cut, empty, free_shuffles, fresh, ship, shuffle_partitions, table
+from kronograph.llm.common import Written, clean_names, cut, empty, free_shuffles, fresh, released, ship, shuffle_partitions, table
 from kronograph.operators.components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -370,7 +370,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         none = [None] * SKETCH_ROWS
         yield table(first_schema, {"doc_id": none, "hashed": none, "class": none, "n": none, "signature": none, "part": list(range(SKETCH_ROWS)), "counts": rows})
 
-    base = Written(docs.mapInArrow(first, first_schema), "shingles")
+    base = Written(docs.mapInArrow(released(first), first_schema), "shingles")
     rows = Written(base.read().filter("part is null").select("doc_id", "hashed", "class", "n"), "rows").read()
 
     def added(t: pa.Table) -> pa.Table:
@@ -425,8 +425,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
             yield table("class bigint, hub bigint", {"class": np.ascontiguousarray(both[:, 0]), "hub": np.ascontiguousarray(both[:, 1])})
 
     partitions = shuffle_partitions(spark)
-    keyed = docs.select("text").mapInArrow(keys, key_schema).repartition(partitions, "key").sortWithinPartitions("key", "n", "class")
-    holders = Written(keyed.mapInArrow(hubs, "class bigint, hub bigint").distinct(), "hubs")
+    keyed = docs.select("text").mapInArrow(released(keys), key_schema).repartition(partitions, "key").sortWithinPartitions("key", "n", "class")
+    holders = Written(keyed.mapInArrow(released(hubs), "class bigint, hub bigint").distinct(), "hubs")
     del keyed
     free_shuffles(spark)
 
@@ -485,7 +485,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
 
     # rows that the filter lets through by chance find no block, or are one more copy there
     found = docs.select("text", F.xxhash64("hashed", "doc_id").alias("key"))
-    kept = Written(found.mapInArrow(sets, "class bigint, set binary"), "sets")
+    kept = Written(found.mapInArrow(released(sets), "class bigint, set binary"), "sets")
     free_shuffles(spark)
     linked_schema = "src bigint, dst bigint, alone boolean"
 

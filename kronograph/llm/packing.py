@@ -20,7 +20,7 @@ start. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from kronograph.llm import bpe
-from kronograph.llm.common import OUT_BYTES, clean_names, cut, ship, table
+from kronograph.llm.common import OUT_BYTES, clean_names, cut, released, ship, table
 
 #: Tokens of a sequence, the separator's id, and documents of a group.
 SEQUENCE, SEPARATOR, GROUP_DOCS = 2048, 1, 2048
@@ -38,6 +38,9 @@ SEQUENCE, SEPARATOR, GROUP_DOCS = 2048, 1, 2048
 #: Fills a sequence after its last piece; the sequence's length tells it from ids of texts.
 PADDING = 0
 
+#: Bytes of padded ids that are laid out at once.
+BLOCK_BYTES = 2 << 20
+
 
 class BinTree:
     """Tournament tree: each node holds the largest free space of the bins below it."""
@@ -85,11 +88,11 @@ def tokens(path: str):
     """text to its ids, as the tokenizers library gives them for that file."""
     import tiktoken
 
-    codec = bpe.load(path)
-    ranks = codec.ranks()
+    codec = bpe.ByteBPE(path)  # not kept: the library has tables of its own
+    ranks, special = codec.ranks(), set(codec.special)
     if ranks is not None:
         own = tiktoken.Encoding("packing", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens=codec.special)
-        return lambda text: own.encode_to_numpy(text, allowed_special=set(codec.special), disallowed_special=())
+        return lambda text: own.encode_to_numpy(text, allowed_special=special, disallowed_special=())
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
@@ -99,7 +102,7 @@ def tokens(path: str):
 def laid_out(t: pa.Table, at: np.ndarray, sequence: int, padding: int) -> Iterator[pa.RecordBatch]:
     """Sequences of pieces that are in the order of their sequences' ids and their place there; at: the sequence's id of each."""
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    step = max(1, OUT_BYTES // (4 * sequence))
+    step = max(1, BLOCK_BYTES // (4 * sequence))
     for k in range(0, len(first), step):
         heads = first[k : k + step]
         lo, hi = heads[0], first[k + step] if k + step < len(first) else len(at)
@@ -128,6 +131,11 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     the bin; full pieces count on from the number of groups, by the task that
     cut them. The number of groups follows the number of rows.
     """
+    return _packed(docs, lambda batches: batches, SEQUENCES, tokenizer, id_col, text_col, sequence, separator, group_docs, padding)
+
+
+def _packed(docs: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, tokenizer: str, id_col: str, text_col: str, sequence: int, separator: int, group_docs: int, padding: int) -> DataFrame:
+    """What read makes of the packed sequences (SEQUENCES), in the process that packs them: padded ids needn't go to another one."""
     docs = clean_names(docs, doc_id=id_col, text=text_col)
     ship(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
@@ -172,7 +180,10 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
             order = np.lexsort((offsets, bins))
             yield from laid_out(t.take(order), (t["grp"].to_numpy() << 32) + bins[order], sequence, padding)
 
-    return docs.mapInArrow(pieces, pieces_schema).groupBy("grp").applyInArrow(packed, SEQUENCES)
+    def packed_and_read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from read(packed(batches))
+
+    return docs.mapInArrow(released(pieces), pieces_schema).groupBy("grp").applyInArrow(packed_and_read, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, separator: int = SEPARATOR, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -195,4 +206,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 each = {to: c[f].flatten() for to, f in (("doc_id", "doc_ids"), ("start", "starts"), ("length", "lengths"), ("doc_tokens", "doc_tokens"))}
                 yield table(schema, each | {"ids_crc32": crc, "sequence_id": pa.array(np.repeat(c["sequence_id"].to_numpy(), pieces)), "offset": pa.array(offsets)})
 
-    return sequences(docs, tokenizer, id_col, text_col, sequence, separator, group_docs).mapInArrow(read_back, schema)
+    return _packed(docs, read_back, schema, tokenizer, id_col, text_col, sequence, separator, group_docs, PADDING)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kronograph.llm.common import clean_names, cut, ship, table
+from kronograph.llm.common import clean_names, cut, released, ship, table
 
 #: Rated documents in the fit, features (a power of two), documents that a feature must occur in, steps and their rate, penalty, and the tail probability that keeps a document.
 SAMPLE, FEATURES, LEAST_DOCS, STEPS, RATE, PENALTY, KEEP = 8000, 1 << 22, 4, 250, 0.05, 5e-4, 0.5
@@ -204,4 +204,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             for part in cut(batch, [text_col]):
                 yield part.filter(pa.array(_scored(part, at, shared.value, keep)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kronograph.llm.common import Written, clean_names, cut, free_shuffles, fresh, ship, shuffle_partitions, table
+from kronograph.llm.common import Written, clean_names, cut, free_shuffles, fresh, released, ship, shuffle_partitions, table
 
 #: Symbols of a window and of the string that makes an anchor: bytes, or words.
 WINDOW, GRAM = 400, 48
@@ -369,7 +369,7 @@ def covered(docs: DataFrame, text_col: str, windows: dict[str, int]) -> DataFram
                     cols = [np.concatenate(c) for c in zip(*out)]
                     yield table(schema, dict(zip(("hashed", "a", "lo", "hi", "anchor", "context"), cols)))
 
-    every = Written(docs.mapInArrow(places, schema), "anchors")
+    every = Written(docs.mapInArrow(released(places), schema), "anchors")
     place = F.struct("hashed", "a")
     repeated = every.read().groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.min("context").alias("c"), F.max("context").alias("d")).filter("x <> y")
     repeated = Written(repeated.select("anchor", (F.col("c") != F.col("d")).alias("mixed")), "repeated")
@@ -402,7 +402,7 @@ def covered(docs: DataFrame, text_col: str, windows: dict[str, int]) -> DataFram
                 seen.clear()
             yield batch.filter(pa.array(fresh_ones, pa.bool_()))
 
-    texts = docs.mapInArrow(firsts, docs.schema).join(wanted, "hashed").select("hashed", "text", "wanted")
+    texts = docs.mapInArrow(released(firsts), docs.schema).join(wanted, "hashed").select("hashed", "text", "wanted")
 
     names = "anchor", "context", "start", "stop"
     match_schema = "anchor bigint, context bigint, start int, stop int"
@@ -482,8 +482,8 @@ def covered(docs: DataFrame, text_col: str, windows: dict[str, int]) -> DataFram
         if rows:
             yield table(match_schema, dict(zip(names, zip(*rows))))
 
-    dealt = texts.mapInArrow(runs, run_schema).repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    partial = Written(dealt.mapInArrow(found, match_schema), "matches")
+    dealt = texts.mapInArrow(released(runs), run_schema).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    partial = Written(dealt.mapInArrow(released(found), match_schema), "matches")
     free_shuffles(spark)
     whole = each.read().filter("whole").select("anchor", "context")
     unit = F.col("anchor").bitwiseAND(1).cast("int").alias("unit")
@@ -580,4 +580,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
                 new = [cleaned(t, m) if m else t for t, m in zip(part.column(at).to_pylist(), part.column(len(kept)).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else part.column(k) for k in range(len(kept))], names=kept)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(released(run), docs.schema)

@@ -90,6 +90,12 @@ def test_packing(docs, none, texts):
     assert packing.pack(none, PATH).count() == 0
 
 
+def test_pieces_are_read_where_they_are_packed(docs):
+    """One Python process a task cuts pieces and one packs and reads them back; a third took an executor's memory."""
+    plan = packing.pack(docs, PATH)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("sequence", [64, 100])
 def test_packed_sequences_hold_all_ids(docs, none, texts, sequence):
     rows = packing.sequences(docs, PATH, sequence=sequence, group_docs=4, padding=7).collect()
