@@ -17,7 +17,7 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 
 
 #: State lies on the executors' disks, and what is cached of it is bounded for each executor.
-STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4", "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2"}
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = 1) -> DataFrame:

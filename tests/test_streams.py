@@ -39,6 +39,20 @@ def test_stream_settings_are_put_back(spark, dealt):
     assert [spark.conf.get(k, None) for k in streams.STATE] == mine
 
 
+def test_stream_state_has_small_buffers(spark, dealt, monkeypatch):
+    """A state store's write buffers aren't bounded by the cache's limit: they grow while rows come faster than they are flushed."""
+    found, start = [], streams.ingest
+
+    def started(*args, **more):
+        found.append([int(spark.conf.get(f"spark.sql.streaming.stateStore.rocksdb.{k}", None) or -1) for k in ("maxMemoryUsageMB", "writeBufferSizeMB", "maxWriteBufferNumber")])
+        return start(*args, **more)
+
+    monkeypatch.setattr(streams, "ingest", started)
+    plans.QUERIES["stream_sessions"](spark, dealt)
+    cache, size, number = found[0]
+    assert 0 < cache <= 64 and 0 < size * number <= 8
+
+
 def test_stream_without_events(spark, sf, tmp_path):
     duckdb.sql(f"copy (select * from '{sf}/events.parquet' limit 0) to '{tmp_path}/events.parquet' (format parquet)")
     assert plans.QUERIES["stream_ingest"](spark, str(tmp_path)).count() == 0
